@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.packing import pack
+from quillspark.llm.quality import score_quality
+from quillspark.llm.secrets import scan_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +38,41 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Query] = {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("id").cast("string")) % 5
+    out = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold=remainder, learn=remainder != 0)
+    return out.select(
+        "row.doc_id",
+        F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(_table(spark, sf_dir, "documents"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    base = of("assign", "access", "hex")
+    return out.select(
+        "row.doc_id",
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
+    "op5_secrets": op5_secrets,
+}
 
 _WORDS1 = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
