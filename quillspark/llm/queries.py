@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.ann import nearest
 from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.packing import pack
 from quillspark.llm.quality import score_quality
@@ -67,11 +68,17 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op5_secrets": op5_secrets,
+    "op10_neighbours": op10_neighbours,
 }
 
 _WORDS1 = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -92,4 +99,10 @@ its as (select rid, list_sort(list(distinct item)) items from m group by rid)
 select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(len(items), 0)::bigint n_items,
        sha256(coalesce(array_to_string(items, ','), '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join hit using (rid) left join its using (rid)""",
+    "op10_neighbours": """
+with v as (select row_number() over () rid, vec_id, embedding::double[] v from embeddings
+           where embedding is not null and vec_id is not null and list_bool_or(list_transform(embedding, x -> x != 0))
+                 and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))),
+p as (select q.rid, q.vec_id query_id, c.vec_id, list_distance(q.v, c.v) score from v q, v c where q.vec_id % 100 = 0 and q.rid <> c.rid and len(q.v) = len(c.v))
+select query_id, rank::int rank, vec_id, score from (select *, row_number() over (partition by rid order by score, vec_id) rank from p) where rank <= 10""",
 }
