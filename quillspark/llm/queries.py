@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.ann import nearest
 from quillspark.llm.decontaminate import decontaminate
+from quillspark.llm.minhash import near_duplicates
 from quillspark.llm.packing import pack
 from quillspark.llm.quality import score_quality
 from quillspark.llm.secrets import scan_secrets
@@ -68,6 +69,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -78,10 +84,12 @@ QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op5_secrets": op5_secrets,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_neighbours": op10_neighbours,
 }
 
 _WORDS1 = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS2 = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
@@ -99,10 +107,24 @@ its as (select rid, list_sort(list(distinct item)) items from m group by rid)
 select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(len(items), 0)::bigint n_items,
        sha256(coalesce(array_to_string(items, ','), '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join hit using (rid) left join its using (rid)""",
+    "op8_near_duplicates": f"""
+with recursive d as (select row_number() over () rid, doc_id, coalesce({_WORDS2.format(_LOWER.format("text"))}, []) w from documents),
+s as (select rid, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)] end)) s from d),
+c as (select min(rid) node, s, len(s) n from s where len(s) > 0 group by s),
+e as (select node, n, unnest(s) g from c),
+link as (select x.node a, y.node b from e x join e y on x.g = y.g and x.node < y.node and x.n * 100 >= y.n * 85 and y.n * 100 >= x.n * 85
+         group by x.node, y.node, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+both_ways as (select a, b from link union all select b, a from link),
+reach as (select node a, node b from c union select r.a, l.b from reach r join both_ways l on r.b = l.a),
+low as (select r.a node, min(d.doc_id) component from reach r join c on c.node = r.b join s on s.s = c.s join d on d.rid = s.rid group by r.a)
+select d.doc_id, len(s.s)::bigint n_shingles, case when len(s.s) > 0 then low.component else d.doc_id end component_id,
+       case when len(s.s) > 0 then d.doc_id = low.component else true end kept
+from d join s using (rid) left join c on c.s = s.s left join low using (node)""",
     "op10_neighbours": """
 with v as (select row_number() over () rid, vec_id, embedding::double[] v from embeddings
-           where embedding is not null and vec_id is not null and list_bool_or(list_transform(embedding, x -> x != 0))
-                 and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))),
+           where embedding is not null and vec_id is not null and len([x for x in embedding if x <> 0]) > 0
+                 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
 p as (select q.rid, q.vec_id query_id, c.vec_id, list_distance(q.v, c.v) score from v q, v c where q.vec_id % 100 = 0 and q.rid <> c.rid and len(q.v) = len(c.v))
 select query_id, rank::int rank, vec_id, score from (select *, row_number() over (partition by rid order by score, vec_id) rank from p) where rank <= 10""",
 }
