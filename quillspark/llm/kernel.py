@@ -87,9 +87,16 @@ class Words:
         self.bounds = bounds  # words of text i: bounds[i] .. bounds[i + 1]
         self.count = np.diff(bounds)
         self.doc = np.repeat(np.arange(n), self.count)
-        total = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * _powers(_R, len(data)), out=total[1:])
-        self.h = mix((total[self.end] - total[self.start]) * _powers(_inverse(_R), len(data) + 1)[self.start])
+        self.h = np.empty(len(self.start), U64)
+        lo = 0
+        while lo < len(self.start):  # words that start within 1 MB at a time, so a long text needs little more memory
+            hi = int(np.searchsorted(self.start, self.start[lo] + (1 << 20)))
+            at, to = self.start[lo], self.end[hi - 1]
+            total = np.zeros(to - at + 1, U64)
+            np.cumsum((data[at:to].astype(U64) + U64(1)) * _powers(_R, to - at), out=total[1:])
+            self.h[lo:hi] = (total[self.end[lo:hi] - at] - total[self.start[lo:hi] - at]) * _powers(_inverse(_R), 1 << 20)[self.start[lo:hi] - at]
+            lo = hi
+        self.h = mix(self.h)
         self._prefix: np.ndarray | None = None
 
     def __len__(self) -> int:
@@ -156,6 +163,21 @@ def slices(texts: pa.Array, most: int = 3 << 20) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def joined_words(w: Words, keep: np.ndarray) -> pa.Array:
+    """The kept words of each text, joined by one space."""
+    own = np.flatnonzero(keep)
+    length = w.end[own] - w.start[own] + 1
+    to = np.cumsum(length)
+    out = np.append(w.raw, np.uint8(32))[np.arange(to[-1] if len(to) else 0) + np.repeat(w.start[own] - (to - length), length)]
+    out[to - 1] = 32
+    edge = np.append(0, to)[np.searchsorted(own, w.bounds)]
+    inner = np.ones(len(out), bool)  # no space after a text's last word
+    last = edge[1:][np.diff(edge) > 0] - 1
+    inner[last] = False
+    at = edge - np.searchsorted(last, edge)
+    return pa.Array.from_buffers(pa.large_string(), w.n_docs, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(out[inner].tobytes())]).cast(pa.string())
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     c = batch.column(batch.schema.get_field_index(name))
     return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c

@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.ann import nearest
+from quillspark.llm.chat import link_quotations
 from quillspark.llm.decontaminate import decontaminate
+from quillspark.llm.lines import dedup_lines
+from quillspark.llm.lm import score_texts
 from quillspark.llm.minhash import near_duplicates
 from quillspark.llm.packing import pack
 from quillspark.llm.quality import score_quality
 from quillspark.llm.secrets import scan_secrets
+from quillspark.llm.substring import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +55,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_table(spark, sf_dir, "documents"), min_words=35)
+    return out.select("row.doc_id", F.col("words").alias("n_words"), F.col("removed_words").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -69,6 +78,30 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = link_quotations(_table(spark, sf_dir, "conversations"))
+    return out.select(F.col("conv").alias("conv_id"), "turn", "role", "reply_to", F.col("quotes").alias("n_quotes"), F.col("linked").alias("n_linked"), F.sha2("body", 256).alias("body_sha256"))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", F.col("lines").alias("n_lines"), F.col("removed_lines").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    out = score_texts(_table(spark, sf_dir, "documents"), ~held_out)
+    return out.select(
+        "row.doc_id",
+        F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 7 == 2, F.lit(False)).alias("held_out"),
+        F.col("tokens").alias("n_tokens"),
+        F.col("known").alias("n_known"),
+        "train_tokens",
+        F.col("base").alias("base_score"),
+        "score",
+    )
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
     return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
@@ -83,8 +116,12 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
+    "op4_substrings": op4_substrings,
     "op5_secrets": op5_secrets,
+    "op6_chat": op6_chat,
+    "op7_language_model": op7_language_model,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_lines": op9_lines,
     "op10_neighbours": op10_neighbours,
 }
 
@@ -107,6 +144,44 @@ its as (select rid, list_sort(list(distinct item)) items from m group by rid)
 select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(len(items), 0)::bigint n_items,
        sha256(coalesce(array_to_string(items, ','), '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join hit using (rid) left join its using (rid)""",
+    "op4_substrings": f"""
+with d as (select row_number() over () rid, doc_id, coalesce({_WORDS2.format("text")}, []) w from documents),
+g as (select rid, i, hash(array_to_string(w[i:i + 34], ' ')) || md5(array_to_string(w[i:i + 34], ' ')) g from (select rid, w, unnest(range(1, len(w) - 33)) i from d where len(w) >= 35)),
+again as (select rid, i from (select rid, i, count(*) over (partition by g) n from g) where n > 1),
+gone as (select rid, list(distinct p) g from (select rid, unnest(range(i, i + 35)) p from again) group by rid)
+select doc_id, len(w)::bigint n_words, coalesce(len(g), 0)::bigint n_removed,
+       sha256(array_to_string(case when g is null then w else [w[i] for i in range(1, len(w) + 1) if not list_contains(g, i)] end, ' ')) kept_sha256
+from d left join gone using (rid)""",
+    "op6_chat": r"""
+with m as (select row_number() over () rid, *, coalesce(text, '') t from conversations),
+l as (select rid, i, string_split(t, chr(10))[i] s from (select rid, t, unnest(range(1, len(string_split(t, chr(10))) + 1)) i from m)),
+q as (select rid, i, len(regexp_replace(regexp_extract(s, '^[ \t]*((?:>[ \t]?)*)', 1), '[^>]', '', 'g')) level, regexp_replace(s, '^[ \t]*(?:>[ \t]?)+', '') s from l),
+g as (select *, i - row_number() over (partition by rid, level order by i) run from q),
+p as (select rid, level, min(i) i, string_agg(s, chr(10) order by i) s from g group by rid, level, run),
+b as (select rid, regexp_replace(coalesce(string_agg(s, chr(10) order by i) filter (level = 0), ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') body, count(*) filter (level > 0) quotes from p group by rid),
+n as (select m.conv_id, m.turn, p.rid, p.level, p.i, translate(trim(regexp_replace(p.s, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') p from p join m using (rid) where level > 0),
+said as (select distinct conv_id, turn, translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') p
+  from (select conv_id, turn, unnest(list_concat([body], list_concat(regexp_split_to_array(body, '\n[ \t]*\n'), string_split(body, chr(10))))) x from b join m using (rid))),
+k as (select rid, i, level, max(said.turn) said from n join said on n.conv_id = said.conv_id and n.p = said.p and said.turn < n.turn
+      where regexp_matches(n.p, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]') group by rid, i, level),
+f as (select rid, count(*) linked, arg_min(said, level * 1000000 + i) said from k group by rid),
+t as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) prior from (select distinct conv_id, turn from m where conv_id is not null and turn is not null))
+select m.conv_id, m.turn, m.role, coalesce(f.said, t.prior) reply_to, quotes::bigint n_quotes, coalesce(linked, 0)::bigint n_linked, sha256(body) body_sha256
+from m join b using (rid) left join f using (rid) left join t on t.conv_id = m.conv_id and t.turn = m.turn""",
+    "op9_lines": r"""
+with d as (select row_number() over () rid, doc_id, text, coalesce(string_split(text, chr(10)), []) a from documents),
+l as (select rid, doc_id, row_number() over (partition by rid order by i) k, i, s
+      from (select rid, doc_id, i, a[i] s from (select *, unnest(range(1, len(a) + 1)) i from d)) where regexp_matches(s, '[^\x20\x09-\x0D]')),
+w as (select rid, doc_id, k, 3 n, s || chr(10) || lead(s, 1) over o || chr(10) || lead(s, 2) over o g from l window o as (partition by rid order by k)
+      union all select rid, doc_id, k, 1, s from l where length(s) >= 60),
+f as (select *, row_number() over (partition by n, g order by doc_id nulls last, rid, k) place from w where g is not null),
+gone as (select distinct rid, unnest(range(k, k + n)) k from f where place > 1),
+x as (select l.rid, l.i from l join gone using (rid, k)),
+r as (select rid, list(i) g, count(*) n from x group by rid),
+c as (select rid, count(*) n from l group by rid)
+select doc_id, coalesce(c.n, 0)::bigint n_lines, coalesce(r.n, 0)::bigint n_removed,
+       case when r.n is null then sha256(text) else sha256(array_to_string([a[i] for i in range(1, len(a) + 1) if not list_contains(g, i)], chr(10))) end kept_sha256
+from d left join c using (rid) left join r using (rid)""",
     "op8_near_duplicates": f"""
 with recursive d as (select row_number() over () rid, doc_id, coalesce({_WORDS2.format(_LOWER.format("text"))}, []) w from documents),
 s as (select rid, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
