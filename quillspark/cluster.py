@@ -6,12 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _FOLDERS: dict[str, str] = {}
+_LATEST: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,16 +40,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: later jobs start from the files."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    for noted in _LATEST:
+        noted.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """Collects the paths of the tables that are written meanwhile."""
+    paths: list[str] = []
+    _LATEST.append(paths)
+    try:
+        yield paths
+    finally:
+        _LATEST.remove(paths)
+
+
+def drop(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables that written() made and nothing reads any more."""
+    for each in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(each)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what written() has left for this application."""
     folder = _FOLDERS.pop(spark.sparkContext.applicationId, None)
     if folder:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop(spark, [folder])
 
 
 def ship(spark: SparkSession) -> SparkSession:
