@@ -183,6 +183,17 @@ k as (select *, greatest(0, least(requested, 25 - coalesce(sum(requested) over (
 final as (select doc_id, issue_id, kind, section, case when own then case when deduction >= 6 then 'high' when deduction >= 3 then 'medium' else 'low' end else priority end priority, requested, deduction, so from k)"""
 
 
+# metric, gap, tolerance, wording above and below the target
+STATISTICS = [
+    ("mean_sentence_length", _rel, 0.15, "longer", "shorter"), ("sentence_length_variance", _rel, 0.25, "more varied", "more uniform"), ("repeated_opening_rate", _abs, 0.03, "higher", "lower"),
+    ("flesch_reading_ease", _abs, 5.0, "easier", "harder"), ("flesch_kincaid_grade", _abs, 1.0, "higher", "lower"), ("mean_paragraph_sentence_count", _rel, 0.15, "more", "fewer"), ("single_sentence_paragraph_rate", _abs, 0.05, "higher", "lower"),
+]
+
+
+def _statistic(name: str, gap, tolerance: float, more: str, less: str) -> str:
+    return f"union all select doc_id, '{name}', dd.{name}, p.{name}, case when dd.{name} is null then 'unavailable' when {gap(name)} <= {tolerance} then 'closely aligned' when dd.{name} > p.{name} then '{more} than target' else '{less} than target' end from dd, p"
+
+
 def long_runs() -> str:
     """CTE r: run, system, metric, value."""
     return f"""{doc_structure()}, {pack()},
@@ -195,19 +206,38 @@ r as (select run, system, unnest(['tell_rate', 'mean_sentence_length', 'sentence
 FLOOR = """a as (select system, metric, max(value) - min(value) spread, count(value) n_runs from r group by all),
 fl as (select metric, max(spread) floor, min(n_runs) n_runs_min from a group by metric)"""
 
-# Literals, one kind after another, on a text in which what is taken already is blanked out with as many private characters.
 QUOTE = r'''"[^"\n]+"|“[^”\n]+”'''
-MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 
 
-def literals(source: str) -> str:
-    """CTEs up to lit: doc_id, kind, value, start, end. Numbers: runs of number characters of which both sides are no word characters; the tables hold no URLs."""
-    number = r"[-+]?[$€£]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?%?"
-    return f"""lq as (select doc_id, text t, regexp_extract_all(text, '{QUOTE}') g, regexp_split_to_array(text, '{QUOTE}') h from {source}),
-l1 as (select doc_id, 'quote' kind, g[i] m, (coalesce(list_sum([len(x) for x in h[1:i]]), 0) + coalesce(list_sum([len(x) for x in g[1:i - 1]]), 0))::int start from (select *, unnest(range(1, len(g) + 1)) i from lq)),
-rest as (select doc_id, coalesce(string_agg(h[i] || coalesce(repeat('_', len(g[i])), ''), '' order by i), '') t from (select *, unnest(range(1, len(h) + 1)) i from lq) group by doc_id),
-ld as (select doc_id, t, regexp_extract_all(t, '(?i){MONTH}\\s+[0-9]{{1,2}}(?:st|nd|rd|th)?(?:,\\s*|\\s+)[0-9]{{4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}') g from rest),
-mk as (select doc_id, t, regexp_replace(t, '([{WORD}]+)', '{chr(0xE000)}\\1{chr(0xE001)}', 'g') b from rest)"""
+def literals(source: str, name: str = "lit") -> str:
+    """CTEs up to ``name``: doc_id, kind, value, start, stop. The tables hold neither URLs nor dates, so kinds are quotes and numbers.
+
+    RE2 has no lookaround: what quotes take is blanked out before numbers are looked for, and a number
+    is taken with a mark on each side, which stands where runs of word characters begin and end.
+    """
+    b, e = chr(0xE000), chr(0xE001)
+    sums = "(coalesce(list_sum([len(x) for x in h[1:i]]), 0) + coalesce(list_sum([len(x) for x in g[1:i - 1]]), 0))::int"
+    plain = f"replace(replace({{}}, '{b}', ''), '{e}', '')"
+    number = rf"[-+]?[$€£]?{b}[0-9]+{e}(?:,{b}[0-9]{{3}}{e})*(?:\.{b}[0-9]+{e})?%?"
+    return rf"""{name}_q as (select doc_id, text t, regexp_extract_all(text, '{QUOTE}') g, regexp_split_to_array(text, '{QUOTE}') h from {source}),
+{name}_1 as (select doc_id, 'quote' kind, g[i] m, {sums} start from (select *, unnest(range(1, len(g) + 1)) i from {name}_q)),
+{name}_r as (select doc_id, string_agg(h[i] || coalesce(repeat('_', len(g[i])), ''), '' order by i) t from (select *, unnest(range(1, len(h) + 1)) i from {name}_q) group by doc_id),
+{name}_m as (select doc_id, t, regexp_replace(t, '([{WORD}]+)', '{b}\1{e}', 'g') k from {name}_r),
+{name}_n as (select doc_id, regexp_extract_all(k, '{number}') g, regexp_split_to_array(k, '{number}') h from {name}_m),
+{name}_3 as (select doc_id, {plain.format('g[i]')} m, (coalesce(list_sum([len({plain.format('x')}) for x in h[1:i]]), 0) + coalesce(list_sum([len({plain.format('x')}) for x in g[1:i - 1]]), 0))::int start,
+    (regexp_matches(g[i], '^[-+$€£]') and right(case when h[i] = '' and i > 1 then g[i - 1] else h[i] end, 1) = '{e}')::int glued from (select *, unnest(range(1, len(g) + 1)) i from {name}_n)),
+{name}_2 as (select doc_id, 'number' kind, m[glued + 1:] m, start + glued as start from {name}_3),
+{name} as (select doc_id, kind, case kind when 'quote' then regexp_replace({strip("m[2:-2]")}, '[{WS}]+', ' ', 'g') else replace(m, ',', '') end as value, start, start + len(m) as stop from (select * from {name}_1 union all select * from {name}_2))"""
+
+
+REVISED = """rev as (select doc_id, case when doc_id % 2 = 0 then translate(text, '7"', '8''') else text end as text from documents where doc_id % 50 <> 3 union all select -doc_id, text from documents where doc_id % 100 = 5)"""
+KEPT = f"""{literals('documents', 'a')}, {REVISED}, {literals('rev', 'z')},
+    n1 as (select doc_id, kind, value, count(*) n from a group by all), n2 as (select doc_id, kind, value, count(*) n from z group by all),
+    bo as (select coalesce(n1.doc_id, n2.doc_id) doc_id, coalesce(n1.n, 0) s, coalesce(n2.n, 0) r from n1 full join n2 on n1.doc_id = n2.doc_id and n1.kind = n2.kind and n1.value = n2.value),
+    su as (select doc_id, sum(s) s, sum(r) r, sum(greatest(s - r, 0)) missing, sum(greatest(r - s, 0)) added from bo group by doc_id),
+    ids as (select coalesce(d.doc_id, v.doc_id) doc_id, case when d.doc_id is null then 'record_missing_from_source' when v.doc_id is null then 'record_missing_from_revision' end reason from documents d full join rev v on d.doc_id = v.doc_id),
+    rec as (select ids.doc_id, reason, case when reason is null then coalesce(s, 0) else 0 end::bigint s, case when reason is null then coalesce(r, 0) else 0 end::bigint r, case when reason is null then coalesce(missing, 0) else 0 end::bigint missing, case when reason is null then coalesce(added, 0) else 0 end::bigint added from ids left join su using (doc_id)),
+    sta as (select *, case when reason is null and missing = 0 and added = 0 then 'pass' else 'fail' end status from rec)"""
 
 
 ORACLES: dict[str, str] = {
@@ -253,16 +283,35 @@ ORACLES: dict[str, str] = {
     "within_allowance": f"with {allowances()} select f.doc_id, f.rule_id, {LINE} as line, {COLUMN} as column, row_number() over (partition by f.doc_id, f.rule_id order by {LINE}, {COLUMN}) <= b.allowance within_allowance from f join b on b.doc_id = f.doc_id and b.rule_id = f.rule_id",
     "style_gaps": f"with {PROFILE} select dd.doc_id, dd.words::bigint words, {', '.join(f'round(dd.{g}, 6) draft_{g}, round(p.{g}, 6) profile_{g}, round(dd.{g} - p.{g}, 6) delta_{g}' for g in GAPS)} from dd, p",
     "assessment_issues": f"with {ISSUES} select doc_id, issue_id, kind, section, priority, requested, deduction, row_number() over (partition by doc_id order by list_position(['high', 'medium', 'low'], priority), so, issue_id) place from final",
-    "assessment_score": f"""with {ISSUES}, z as (select doc_id, {', '.join(f"coalesce(sum(deduction) filter (section = '{x}'), 0) {x}" for x in ('clarity_directness', 'readability', 'rhythm_structure', 'vocabulary_style'))} from final group by doc_id),
-        y2 as (select dd.doc_id, dd.words > 0 and flesch_reading_ease is not null ok, {', '.join(f'(25 - coalesce(z.{x}, 0))::int {x}' for x in ('clarity_directness', 'readability', 'rhythm_structure', 'vocabulary_style'))} from dd left join z using (doc_id)),
+    "assessment_score": f"""with {ISSUES}, lost as (select doc_id, {', '.join(f"coalesce(sum(deduction) filter (section = '{x}'), 0) {x}" for x in ('clarity_directness', 'readability', 'rhythm_structure', 'vocabulary_style'))} from final group by doc_id),
+        y2 as (select dd.doc_id, dd.words > 0 and flesch_reading_ease is not null ok, {', '.join(f'(25 - coalesce(lost.{x}, 0))::int {x}' for x in ('clarity_directness', 'readability', 'rhythm_structure', 'vocabulary_style'))} from dd left join lost using (doc_id)),
         t2 as (select *, clarity_directness + readability + rhythm_structure + vocabulary_style total from y2)
         select doc_id, case when ok then 'scored' else 'unscored' end status, case when ok then total::int end total, case when ok then case when total >= 90 then 'High alignment' when total >= 75 then 'Moderate alignment' when total >= 60 then 'Low alignment' else 'Very low alignment' end end as label,
         {', '.join(f'case when ok then {x} end {x}' for x in ('clarity_directness', 'readability', 'rhythm_structure', 'vocabulary_style'))} from t2""",
+    "assessment_statistics": f"""with {PROFILE}, v as (
+        select doc_id, 'word_count' statistic, words::double as value, null::double target, 'informational' interpretation from dd
+        union all select doc_id, 'paragraph_count', paragraph_count, null, case when paragraph_count is null then 'unavailable' else 'informational' end from dd
+        {' '.join(_statistic(*x) for x in STATISTICS)}) select doc_id, statistic, round(value, 6) as value, interpretation from v""",
     "section_cap": f"""with {pack(marks=False)}, n as (select doc_id, rule_id issue_id, (case when any_value(severity) = 'warn' then 2 else 0 end * count(*))::int requested, case when any_value(severity) = 'warn' then 2 else 3 end po from f where rule_id <> 'repeated_openings' group by doc_id, rule_id)
         select doc_id, issue_id, requested, greatest(0, least(requested, 25 - coalesce(sum(requested) over (partition by doc_id order by po, issue_id rows between unbounded preceding and 1 preceding), 0)))::int deduction from n""",
+    "literals": f"with {literals('documents')} select doc_id, kind, value, start as start, stop as end from lit",
+    "literal_preservation": f"with {KEPT} select doc_id, status, s source_literal_count, r revised_literal_count, missing missing_count, added added_count, reason from sta",
+    "literal_totals": f"with {KEPT} select case when count(*) filter (status = 'fail') = 0 then 'pass' else 'fail' end status, count(*) record_count, count(*) filter (status = 'fail') failed_record_count, sum(missing)::bigint missing_literal_count, sum(added)::bigint added_literal_count from sta",
+    "decision_gate": f"""with {pack()}, {REF_TOKENS}, tk as (select doc_id, token, count(*) n from (select doc_id, unnest({words('text')}) token from documents) group by all), pp as (select doc_id, token, n / sum(n) over (partition by doc_id) p from tk), qq as (select token, n / sum(n) over () q from rt), zz as (select sum(q * q) z from qq),
+        l2 as (select doc_id, sqrt(sum((p - coalesce(q, 0)) ** 2) + any_value(z) - sum(coalesce(q, 0) ** 2)) l2 from pp left join qq using (token), zz group by doc_id),
+        dl as (select d.doc_id, l2, len({words('d.text')}) words, n_chars // 6 ref_words from documents d left join l2 using (doc_id)),
+        x as (select (select count(*) from f where doc_id % 2 = 1) n, (select count(*) from f where doc_id % 2 = 1 and severity = 'warn') w, (select sum(words) from dl where doc_id % 2 = 1) words,
+              (select avg(l2) from dl where doc_id % 2 = 1) - (select avg(l2) from dl where doc_id % 2 = 0) delta, (select count(*) from dl where l2 is null) nulls,
+              (select count(*) from dl where doc_id % 2 = 1 and words < greatest(50.0, 0.3::double * ref_words)) short, (select arg_min(doc_id, struct_pack(a := words, b := doc_id)) from dl where doc_id % 2 = 1) shortest),
+        c as (select 1 criterion, w::double measured, 0.0::double compared_with, case when w = 0 then 'pass' else 'fail' end status, null as label from x
+              union all select 2, n * 1000.0::double / words, 2.0, case when n * 1000.0::double / words <= 2.0 then 'pass' else 'fail' end, null from x
+              union all select 3, delta, 0.005, case when delta <= 0.005 then 'pass' else 'fail' end, case when abs(delta) <= 0.005 then 'inconclusive' else 'conclusive' end from x
+              union all select 4, nulls, 0.0, case when nulls = 0 then 'pass' else 'fail' end, null from x
+              union all select 5, short, 0.0, case when short = 0 then 'pass' else 'fail' end, shortest::varchar from x)
+        select criterion, round(measured, 9) measured, round(compared_with, 9) compared_with, status, label, case when exists (select 1 from c where status = 'fail') then 'insufficient' else 'sufficient' end verdict from c""",
     "id_alignment": "with r as (select distinct source, doc_id % 40 id from documents) select s.source, i.id from (select distinct source from r) s, (select distinct id from r) i where (s.source, i.id) not in (select source, id from r)",
     "run_aggregate": f"with {long_runs()} select system, metric, round(min(value), 9) as min, round(max(value), 9) as max, round(avg(value), 9) as mean, round(stddev_pop(value), 9) as stddev, round(max(value) - min(value), 9) spread, count(value) n_runs, count(*) - count(value) n_null from r group by all",
-    "noise_floor": f"with {long_runs()}, {FLOOR}, s as (select metric, min(system) system from a join fl using (metric) where spread = floor group by metric) select metric, round(floor, 9) floor, system, n_runs_min, n_runs_min < 5 bound_only from fl join s using (metric)",
+    "noise_floor": f"with {long_runs()}, {FLOOR}, top as (select metric, min(system) system from a join fl using (metric) where spread = floor group by metric) select metric, round(floor, 9) floor, system, n_runs_min, n_runs_min < 5 bound_only from fl join top using (metric)",
     "compare_systems": f"""with {long_runs()}, {FLOOR}, x as (select metric, max(value) filter (system = 'en') a, max(value) filter (system = 'de') b from r where run = 0 group by metric)
         select metric, round(a, 9) value_a, round(b, 9) value_b, round(b - a, 9) delta, case when a is null or b is null then 'undefined' when floor is null then 'no_floor' when abs(b - a) <= floor then 'inconclusive_below_noise_floor' else 'actionable' end verdict from x left join fl using (metric)""",
     "holdout_split": """with e as (select *, row_number() over (partition by lang order by md5(doc_id::varchar || ':20260717'), doc_id) rn, count(*) over (partition by lang) n from documents where doc_id % 10 <> 0),
