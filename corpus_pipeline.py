@@ -34,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeated runs of lines; documents that have lost all their lines go."""
-    kept = dedup_lines(docs)
+    kept = dedup_lines(docs, keep=docs.columns)
     return _with_text(kept.where((F.col("removed_lines") == 0) | (F.col("removed_lines") < F.col("lines"))), docs, "kept_text")
 
 

@@ -14,27 +14,32 @@ is no group in one task.
 
 Cases: null texts and texts without lines keep what they are and count 0 lines. Of repeated rows,
 the first keeps its lines. Texts that lose all their lines become blank or empty. An empty table
-gives no rows. Other columns are carried as they are, whatever their names.
+gives no rows. Other columns are carried if named in ``keep``, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.cluster import written
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", window: int = 3, long_chars: int = 60) -> DataFrame:
-    """One row for each document row: row (struct of all its columns), kept_text, lines, removed_lines."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "lines")
+def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", keep: Sequence[str] = ("doc_id",), window: int = 3, long_chars: int = 60) -> DataFrame:
+    """One row for each document row: row (struct of the kept columns), kept_text, lines, removed_lines."""
+    # Columns go by number, so a text is written and shuffled once, kept or not.
+    names = list(dict.fromkeys([*keep, id, text]))
+    own = {c: f"c{k}" for k, c in enumerate(names)}
+    t = F.col(own[text])
+    rows = written(docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in names)).withColumn("rid", F.monotonically_increasing_id()), "lines")
 
-    line = F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x)).alias("h"), i.alias("line"), (F.length(x) >= long_chars).alias("long")))
-    lines = rows.select("rid", "id", F.filter(line, lambda x: x["h"].isNotNull()).alias("l")).where("size(l) > 0")
+    line = F.transform(F.split(t, "\n", -1), lambda x, i: F.struct(F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x)).alias("h"), (F.length(x) >= long_chars).alias("long")))
+    lines = rows.select("rid", F.col(own[id]).alias("id"), F.filter(line, lambda x: x["h"].isNotNull()).alias("l")).where("size(l) > 0").selectExpr("rid", "id", "l.h as h", "l.long as long")
     runs = f"""concat(
-        if(size(l) >= {window}, transform(sequence(1, size(l) - {window} + 1), i -> struct(slice(l.h, i, {window}) as h, i, {window} as n)), array()),
-        transform(filter(sequence(1, size(l)), i -> l[i - 1].long), i -> struct(slice(l.h, i, 1) as h, i, 1 as n)))"""
+        if(size(h) >= {window}, transform(sequence(1, size(h) - {window} + 1), i -> struct(slice(h, i, {window}) as h, i, {window} as n)), array()),
+        transform(filter(sequence(1, size(h)), i -> long[i - 1]), i -> struct(slice(h, i, 1) as h, i, 1 as n)))"""
     places = lines.select("rid", "id", F.explode(F.expr(runs)).alias("w")).selectExpr("rid", "id", "array_min(w.h) as print", "w.i + array_position(w.h, array_min(w.h)) as at", "xxhash64(w.n, w.h) as run", "w.i as start", "w.n as n")
     places = written(places, "places")
 
@@ -45,12 +50,14 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", wind
     later = met.join(first, "run").where("rid <> first_rid or start <> first_start")
     gone = later.groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
 
-    flagged = rows.join(gone, "rid", "left").select("row", "t", F.filter(line, lambda x: x["h"].isNotNull()).alias("l"), F.expr("array_distinct(flatten(transform(gone, g -> sequence(g.start, g.start + g.n - 1))))").alias("gone"))
-    flagged = flagged.select("row", "t", F.size("l").alias("n"), F.expr("transform(gone, i -> l[i - 1].line)").alias("gone"))
-    kept = F.expr(r"array_join(filter(split(t, '\n', -1), (x, i) -> not array_contains(gone, i)), '\n')")
+    # Numbers of the lines that are not blank, then of those that go.
+    full = F.filter(F.transform(F.split(t, "\n", -1), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    flagged = rows.join(gone, "rid", "left").withColumn("full", full)
+    flagged = flagged.withColumn("gone", F.expr("transform(array_distinct(flatten(transform(gone, g -> sequence(g.start, g.start + g.n - 1)))), i -> full[i - 1])"))
+    kept = F.array_join(F.filter(F.split(t, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
     return flagged.select(
-        "row",
-        F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept).alias("kept_text"),
-        F.greatest("n", F.lit(0)).cast("long").alias("lines"),
+        F.struct(*(F.col(own[c]).alias(c) for c in keep)).alias("row"),
+        F.when(F.col("gone").isNull(), t).otherwise(kept).alias("kept_text"),
+        F.coalesce(F.size("full"), F.lit(0)).cast("long").alias("lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_lines"),
-    ).withColumn("removed_lines", F.greatest("removed_lines", F.lit(0)))
+    ).withColumns({c: F.greatest(c, F.lit(0)) for c in ("lines", "removed_lines")})
