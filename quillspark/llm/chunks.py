@@ -95,8 +95,21 @@ def shorten(h: np.ndarray, bits: int) -> np.ndarray:
     return h >> U64(64 - bits) if bits < 64 else h
 
 
-def send(chunk: int, kind: int, keys: np.ndarray, bits: int, parts: int, extra: np.ndarray | None = None) -> pa.RecordBatch | None:
-    """keys: distinct and sorted, of ``bits`` bits; extra: an array of a fixed width beside them."""
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count; those that need more follow as eight bytes each. Most counts are 1, so the shuffle's compression makes little of them."""
+    wide = counts >= 255
+    return np.uint32(len(counts)).tobytes() + np.where(wide, 255, counts).astype(np.uint8).tobytes() + counts[wide].astype("<u8").tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    counts = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<u8", offset=4 + n)
+    return counts
+
+
+def send(chunk: int, kind: int, keys: np.ndarray, bits: int, parts: int, extra: np.ndarray, pack: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> pa.RecordBatch | None:
+    """keys: distinct and sorted, of ``bits`` bits; extra: an array beside them, packed part by part."""
     if not len(keys):
         return None
     rest = bits - (parts.bit_length() - 1)
@@ -106,7 +119,7 @@ def send(chunk: int, kind: int, keys: np.ndarray, bits: int, parts: int, extra:
     own = np.flatnonzero(np.diff(edge))
     raw = np.ascontiguousarray((keys & U64((1 << rest) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
     cells = [raw[edge[p] : edge[p + 1]].tobytes() for p in own]
-    more = [b"" if extra is None else extra[edge[p] : edge[p + 1]].tobytes() for p in own]
+    more = [pack(extra[edge[p] : edge[p + 1]]) for p in own]
     n = len(own)
     return pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(own.astype(np.int32)), pa.array([width] * n, pa.int32()), pa.array(cells, pa.binary()), pa.array(more, pa.binary())], ["chunk", "kind", "part", "width", "keys", "extra"])
 
