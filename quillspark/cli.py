@@ -13,6 +13,7 @@ import sys
 from collections.abc import Sequence
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,9 +188,12 @@ def _corpus(spark: SparkSession, a: argparse.Namespace) -> int:
     if lost:
         raise readers.InputError(f"cannot read sample {lost['path']}")
     made = corpus.split_holdout(corpus.samples(joined.drop("file")), forced="holdout_only", fraction=a.eval_fraction, seed=a.seed).persist()
-    readers.write_corpus(made, a.out_dir)
-    for r in readers.corpus_summary(made).collect():  # a row for each use case
-        print(f"{r['use_case']}: {r['holdout']} holdout, {r['eval']} eval")
+    try:
+        readers.write_corpus(made, a.out_dir)
+        for r in readers.corpus_summary(made).collect():  # a row for each use case
+            print(f"{r['use_case']}: {r['holdout']} holdout, {r['eval']} eval")
+    finally:
+        made.unpersist()
     return 0
 
 
@@ -238,8 +242,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     run = {"check": _check, "eval": _eval, "corpus": _corpus, "generate": _generate}.get(a.command) or (_profile if a.command.startswith("profile") else _compare)
     try:
         return run(session(), a)
-    except (readers.InputError, RuleError, ValueError) as error:
-        print(f"error: {error}", file=sys.stderr)
+    except (readers.InputError, RuleError, ValueError, PySparkException) as error:
+        print(f"error: {str(error).splitlines()[0] if str(error) else error!r}", file=sys.stderr)
         return 2 if run is _compare else 1
 
 

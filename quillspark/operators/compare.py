@@ -55,8 +55,8 @@ def verdict(delta: Column, floor: Column) -> Column:
 
 def compare_systems(metrics: DataFrame, a: str, b: str, floor: DataFrame | None = None) -> DataFrame:
     """metric, value_a, value_b, delta, verdict. metrics: system, metric, value."""
-    side = {s: metrics.where(F.col("system") == s).select("metric", F.col("value").alias(f"value_{k}")) for k, s in (("a", a), ("b", b))}
-    both = side[a].join(side[b], "metric", "full_outer") if a != b else side[a].select("metric", F.col("value_a"), F.col("value_a").alias("value_b"))
+    left, right = (metrics.where(F.col("system") == s).select("metric", F.col("value").alias(f"value_{k}")) for k, s in (("a", a), ("b", b)))
+    both = left.join(right, "metric", "full_outer")
     both = both.withColumn("delta", F.col("value_b") - F.col("value_a"))
     both = both.join(floor.select("metric", "floor"), "metric", "left") if floor is not None else both.withColumn("floor", F.lit(None).cast("double"))
     return both.select("metric", "value_a", "value_b", "delta", verdict(F.col("delta"), F.col("floor")).alias("verdict"))
