@@ -3,11 +3,11 @@
 1. Each text's distinct word shingles give a signature of ``orders`` * ``depth`` MinHash values
    and a 128-bit key of the set. Documents with equal sets are one node from here on, so copies cost nothing more.
 2. The forest: for each order, nodes are sorted by that order's part of the signature. Sorted
-   neighbours, up to ``reach`` places apart, that share a prefix of at least ``shallow`` values
-   are candidates. A region (a run with one such prefix) of few nodes is covered
-   completely; in a larger one the sort brings the longest common prefixes together,
-   so the depth at which candidates are taken adapts to the region. ``shallow`` follows from the
-   similarity: a linked pair misses it in all orders with a probability of at most 2e-5.
+   neighbours, up to ``reach`` places apart, that share a long enough prefix are candidates:
+   ``shallow`` values in a region (a run with one such prefix) of at most 2 * reach nodes, and in
+   larger ones the depth at which a node's region has become as small. Nodes that many others equal
+   in all of an order's values are linked with their next. ``shallow`` follows from the similarity: a
+   linked pair misses it in all orders with a probability of at most 2e-5.
 3. In regions of more than 2 * reach nodes, each node is a candidate with the region's pivots too: the
    nodes that lie in the most large regions. The original of many edited copies is such a node,
    also where the copies are too far from each other to be linked. So work stays linear in a region's size.
@@ -75,7 +75,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, n: int) -> np.n
     """The n MinHash values (32 bits) of each set; 0 for empty sets."""
     out = np.zeros((len(size), n), np.uint32)
     own = np.flatnonzero(size)
-    if len(own):
+    if n and len(own):
         edge = (np.cumsum(size) - size)[own]
         for k, (a, b) in enumerate(zip(*_multipliers(n), strict=True)):
             out[own, k] = np.minimum.reduceat((h * a + b) >> U64(32), edge)
@@ -83,13 +83,15 @@ def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, n: int) -> np.n
 
 
 def _sign(n: int, values: int) -> object:
+    """values: how many MinHash values; 0 for keys alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = column(batch, "t")
             for lo, hi in slices(texts):
                 doc, h, size, keys = shingle_sets(texts.slice(lo, hi - lo), n)
                 raw = signatures(doc, h, size, values).astype(">u4").tobytes()  # big-endian: bytes sort as the values do
-                binary = pa.Array.from_buffers(pa.binary(4 * values), len(size), [None, pa.py_buffer(raw)]).cast(pa.binary())
+                binary = pa.Array.from_buffers(pa.binary(4 * values), len(size), [None, pa.py_buffer(raw)]).cast(pa.binary()) if values else pa.nulls(len(size), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [column(batch, "row").slice(lo, hi - lo), column(batch, "id").slice(lo, hi - lo), pa.array(size, pa.int64()), *(pa.array(k.view(np.int64)) for k in keys), binary], ["row", "id", "size", "k1", "k2", "s"]
                 )
@@ -111,26 +113,40 @@ def _deal(orders: int, depth: int) -> object:
     return run
 
 
+def _runs(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted rows: which begin a run of equal first ``width`` columns, and the size of each row's run."""
+    new = np.append(True, (key[1:, :width] != key[:-1, :width]).any(1))
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(key)))
+    return first, np.repeat(size, size)
+
+
 def _neighbours(depth: int, shallow: int, reach: int) -> object:
     """Over sorted rows. kind 0: candidate a < b, v: length of the common prefix. kind 1: node a lies in the large region b."""
 
     def pairs(key: np.ndarray, node: np.ndarray, fresh: int) -> pa.RecordBatch:
         """fresh: rows before it were there already, as the last of an earlier batch."""
+        first, region_size = _runs(key, shallow + 1)  # the order itself is the first column
+        # The depth at which a row's region is small; beyond all values where there is none.
+        need = np.full(len(key), depth + 1)
+        for d in range(depth, shallow - 1, -1):
+            need[_runs(key, d + 1)[1] <= 2 * reach] = d
         a, b, v = [], [], []
         for j in range(1, min(reach, len(node) - 1) + 1):
-            same = np.cumprod(key[j:] == key[:-j], axis=1).sum(1) - 1  # the order itself is the first column
-            at = np.flatnonzero((same >= shallow) & (np.arange(len(same)) + j >= fresh))
+            same = np.cumprod(key[j:] == key[:-j], axis=1).sum(1) - 1
+            near = same >= np.maximum(need[:-j], need[j:])
+            if j == 1:
+                near |= same == depth  # many nodes with all values of the order in common: a chain, besides the pivots
+            at = np.flatnonzero(near & (np.arange(len(same)) + j >= fresh))
             a.append(node[at])
             b.append(node[at + j])
             v.append(same[at])
-        new = np.append(True, (key[1:, : shallow + 1] != key[:-1, : shallow + 1]).any(1))
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(node)))
         region = mix(window_hashes(key[first].astype(U64)[:, : shallow + 1].ravel(), shallow + 1)[:: shallow + 1])
-        large = np.repeat(size > 2 * reach, size) & (np.arange(len(node)) >= fresh)
+        large = (region_size > 2 * reach) & (np.arange(len(node)) >= fresh)
+        region = np.repeat(region, np.diff(np.append(first, len(node))))
         a, b, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, v))
         n = int(large.sum())
-        cols = [np.append(np.zeros(len(a), np.int64), np.ones(n, np.int64)), np.append(np.minimum(a, b), node[large]), np.append(np.maximum(a, b), np.repeat(region, size)[large].view(np.int64)), np.append(v, np.zeros(n, np.int64))]
+        cols = [np.append(np.zeros(len(a), np.int64), np.ones(n, np.int64)), np.append(np.minimum(a, b), node[large]), np.append(np.maximum(a, b), region[large].view(np.int64)), np.append(v, np.zeros(n, np.int64))]
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["kind", "a", "b", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +218,11 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("t"))
     row, kind = (docs.schema[c].dataType.simpleString() for c in ("row", "id"))
     shallow = min(depth, max(1, math.floor(math.log(1 - 2e-5 ** (1 / orders)) / math.log(percent / 100)))) if percent < 100 else depth
-    signed = docs.mapInArrow(_sign(shingle, orders * depth), f"row {row}, id {kind}, size bigint, k1 bigint, k2 bigint, s binary")
+    fields = f"row {row}, id {kind}, size bigint, k1 bigint, k2 bigint, s binary"
+    # Texts are not written with the signatures: where they are kept, the last step reads them and finds their keys again.
+    again = text in keep
+    first_pass = docs.withColumn("row", F.lit(None).cast(docs.schema["row"].dataType)) if again else docs
+    signed = first_pass.mapInArrow(_sign(shingle, orders * depth), fields)
     signed = written(signed.withColumn("rid", F.monotonically_increasing_id()), "signatures")
     nodes = written(signed.where("size > 0").groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min("id").alias("low"), F.first("size").alias("size")), "nodes")
     forest = written(signed.select(F.col("rid").alias("node"), "s").join(nodes.select("node"), "node", "left_semi"), "forest")
@@ -241,6 +261,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     rooted = nodes.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = rooted.groupBy("root").agg(F.min("low").alias("component"))
     by_key = rooted.join(low, "root").select("k1", "k2", "component")
-    out = signed.drop("s").join(by_key, ["k1", "k2"], "left")
+    rows = docs.mapInArrow(_sign(shingle, 0), fields) if again else signed
+    out = rows.drop("s").join(by_key, ["k1", "k2"], "left")
     component = F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select("row", "id", "size", component.alias("component"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
