@@ -159,6 +159,19 @@ def _apply(model, by_fold: bool) -> object:
     return run
 
 
+def _score_texts(model) -> object:
+    """Statistics and score in one pass, so one Python worker serves a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = column(batch, "t")
+            for lo, hi in slices(texts):
+                score = model.value.score(statistics(texts.slice(lo, hi - lo)).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([column(batch, "row").slice(lo, hi - lo), pa.array(score, pa.float64())], ["row", "score"])
+
+    return run
+
+
 def isotonic(n: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Pool adjacent violators: the non-decreasing means of bins with n rows that sum to y; empty bins take a neighbour's."""
     pools: list[list[float]] = []  # weight, sum, last bin
@@ -186,7 +199,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", id:
     learn = F.lit(True) if learn is None else learn
     docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{id}`").alias("id"), F.xxhash64(F.col(f"`{text}`"), F.lit(seed)).alias("pick"), F.col(f"`{text}`").alias("t"))
     row, kind = (docs.schema[c].dataType.simpleString() for c in ("row", "id"))
-    stats = written(docs.mapInArrow(_featurise, f"row {row}, id {kind}, pick bigint, x array<float>"), "statistics")
+    fields = f"row {row}, id {kind}, pick bigint, x array<float>"
+    # Texts are not written with the statistics: where they are kept, the last step finds their statistics again.
+    again = text in keep
+    first_pass = docs.withColumn("row", F.lit(None).cast(docs.schema["row"].dataType)) if again else docs
+    stats = written(first_pass.mapInArrow(_featurise, fields), "statistics")
+    rows = docs if again else stats
     known = labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.avg("y").alias("y"))
     known = known.where(learn).withColumn("fold", fold.cast("long"))
     known = stats.drop("row").join(known, "id")
@@ -196,7 +214,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", id:
     known = written(known.select("x", "y", "fold"), "labelled")
     part = known.mapInArrow(_moments, "n bigint, a array<double>, b array<double>").groupBy().agg(F.sum("n"), *(F.array(*(F.sum(F.get(c, F.lit(k))) for k in range(_WIDTH))) for c in "ab")).first()
     if not part[0]:
-        return stats.select("row", F.lit(0.5).alias("score"))
+        return rows.select("row", F.lit(0.5).alias("score"))
     mean = np.array(part[1]) / part[0]
     model = Model(mean, np.sqrt(np.maximum(np.array(part[2]) / part[0] - mean * mean, 0)), features, width, seed)
     sums = known.mapInArrow(_sums(spark.sparkContext.broadcast(model)), "fold bigint, m binary").groupBy("fold").applyInArrow(_add, "fold bigint, m binary").collect()
@@ -214,7 +232,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", id:
     for r in bins:
         count[r["bin"]], ones[r["bin"]] = r["n"], r["y"]
     model.steps = isotonic(count, ones)
-    return stats.mapInArrow(_apply(spark.sparkContext.broadcast(model), False), f"row {row}, score double")
+    final = spark.sparkContext.broadcast(model)
+    return rows.mapInArrow(_score_texts(final) if again else _apply(final, False), f"row {row}, score double")
 
 
 _WIDTH = statistics(pa.array([""])).shape[1]
