@@ -8,11 +8,12 @@ folder and reads them again, so a lost executor costs at most one stage.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.cluster import written
+from quillspark.cluster import drop, noting, written
 from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.lines import dedup_lines
 from quillspark.llm.minhash import near_duplicates
@@ -21,10 +22,36 @@ from quillspark.llm.quality import score_quality
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: By application: tables that the latest stage wrote for itself.
+_OWN: dict[str, list[str]] = {}
+
+
+def _stage(first: bool = False) -> Callable[[Stage], Stage]:
+    """A stage whose documents are a written table by the time the next one begins; that one deletes the tables this one worked with, unless it reads them."""
+
+    def decorate(f: Stage) -> Stage:
+        @wraps(f)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            app = spark.sparkContext.applicationId
+            old = [] if first else _OWN.pop(app, [])
+            if old:
+                read = "\n".join(docs.inputFiles())
+                drop(spark, [p for p in old if p.rpartition("/")[2] not in read])
+            with noting() as paths:
+                out = f(spark, docs, sf_dir)
+            _OWN[app] = paths
+            return out
+
+        return run_stage
+
+    return decorate
+
+
 #: Documents whose quality score is lower are rejected.
 MIN_QUALITY = 0.3
 
 
+@_stage(first=True)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of at least MIN_QUALITY. The fold that op3 holds out is held out here too."""
     remainder = F.crc32(F.col("id").cast("string")) % 5
@@ -32,24 +59,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") >= MIN_QUALITY).select("row.*")
 
 
+@_stage()
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeated runs of lines; documents that have lost all their lines go."""
     kept = dedup_lines(docs, keep=docs.columns)
     return _with_text(kept.where((F.col("removed_lines") == 0) | (F.col("removed_lines") < F.col("lines"))), docs, "kept_text")
 
 
+@_stage()
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
     found = near_duplicates(docs, keep=docs.columns)
     return found.where("kept").select("row.*")
 
 
+@_stage()
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with a benchmark item."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
     return found.where("hit_words = 0").select("row.*")
 
 
+@_stage()
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
     import public_tokenizers
@@ -77,7 +108,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        out = stage(spark, docs, sf_dir)
+        with noting() as paths:
+            docs = written(out, f"pipeline-{name.replace(' ', '-')}")
+        drop(spark, last)
+        last = paths
     return docs
