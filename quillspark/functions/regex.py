@@ -107,8 +107,37 @@ def _node(kind, value, flags: int) -> str:
     return _repeat(value, flags, suffix)
 
 
+def _word_edge(kind, value, last: bool) -> bool:
+    """Whether what this node matches surely begins (or ends) with a word character."""
+    if kind is c.LITERAL:
+        return chr(value).isalnum() or chr(value) == "_"
+    if kind is c.IN:
+        return all((k is c.LITERAL and (chr(v).isalnum() or chr(v) == "_")) or (k is c.RANGE and v in _WORD_RANGES) or (k is c.CATEGORY and v in (c.CATEGORY_WORD, c.CATEGORY_DIGIT)) for k, v in value)
+    if kind is c.BRANCH:
+        return all(x and _word_edge(*x[-1 if last else 0], last) for x in value[1])
+    if kind is c.SUBPATTERN:
+        return bool(value[3]) and _word_edge(*value[3][-1 if last else 0], last)
+    if kind in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT):
+        return value[0] > 0 and bool(value[2]) and _word_edge(*value[2][-1 if last else 0], last)
+    return False
+
+
+_WORD_RANGES = ((97, 122), (65, 90), (48, 57))
+
+
 def _sequence(body, flags: int) -> str:
-    return "".join(_node(kind, value, flags) for kind, value in body)
+    out, nodes = [], list(body)
+    for n, (kind, value) in enumerate(nodes):
+        if kind is c.AT and value is c.AT_BOUNDARY:
+            # One side is known to be a word character, so one look at the other side will do.
+            if n + 1 < len(nodes) and _word_edge(*nodes[n + 1], False):
+                out.append(f"(?<![{WORD}])")
+                continue
+            if n and _word_edge(*nodes[n - 1], True):
+                out.append(f"(?![{WORD}])")
+                continue
+        out.append(_node(kind, value, flags))
+    return "".join(out)
 
 
 def to_java(pattern: str) -> str:

@@ -95,7 +95,7 @@ def matches(text: Column, java: str) -> Column:
         ),
         lambda a: a["out"],
     )
-    return F.when(text.rlike(java), step).otherwise(F.array().cast("array<struct<text:string,start:int>>"))
+    return F.when(F.size(found) > 0, step).otherwise(F.array().cast("array<struct<text:string,start:int>>"))
 
 
 #: A heading: up to six marks, then a space. A list item's marker.
