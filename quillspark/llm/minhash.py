@@ -15,6 +15,11 @@
    then all whose ends are not yet in one component. Sets are shipped only for nodes with candidates: a
    bitmap of fixed size tells which, and what it lets through too much is dropped by a join.
 
+5. What step 2 leaves out in large regions gets a second look: nodes of a large region that are not
+   in its first pivot's component by then are compared, by their whole signatures, with the nodes of other
+   components that share a region with them, ``rescue`` comparisons for each node of the corpus in all (so each
+   with the whole region if few are left), and the most alike are confirmed.
+
 Sets hold 64-bit hashes of shingles. A pair that a partition boundary splits in one order is met in the others.
 
 Cases: a null text, or one without words, has an empty set, links with nothing and is its own
@@ -99,18 +104,10 @@ def _sign(n: int, values: int) -> object:
     return run
 
 
-def _deal(orders: int, depth: int) -> object:
-    """A row for each order of a node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                raw = np.frombuffer(b"".join(column(batch, "s").to_pylist()), np.uint8).reshape(-1, 4 * depth)
-                node = np.repeat(column(batch, "node").to_numpy(), orders)
-                part = pa.Array.from_buffers(pa.binary(4 * depth), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(orders, dtype=np.int32), batch.num_rows)), part, pa.array(node)], ["o", "p", "node"])
-
-    return run
+def _deal(signed: DataFrame, orders: int, depth: int, *more: str) -> DataFrame:
+    """A row for each order of a node: o, p (its part of the signature), node and further columns."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(orders - 1)), lambda o: F.struct(o.alias("o"), F.substring("s", o * F.lit(4 * depth) + 1, F.lit(4 * depth)).alias("p")))
+    return signed.select(F.explode(parts).alias("e"), "node", *more).select("e.o", "e.p", "node", *more)
 
 
 def _runs(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +161,41 @@ def _neighbours(depth: int, shallow: int, reach: int) -> object:
     return run
 
 
+def _rescue(depth: int, shallow: int, around: int, most: int) -> object:
+    """Over sorted rows of large regions: for each row marked left, the ``most`` rows whose whole signatures are most alike, of those up to ``around`` places away that share the prefix and are in another component."""
+
+    def pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, left: np.ndarray, sign: np.ndarray, fresh: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A pair is looked at when the later of its rows is fresh."""
+        first, size = _runs(key, shallow + 1)
+        start = np.repeat(first, size[first])
+        for i in np.flatnonzero(left):
+            lo, hi = max(start[i], i - around), min(start[i] + size[i], i + around + 1)
+            if i < fresh:
+                lo = max(lo, fresh)
+            other = np.arange(lo, hi)
+            other = other[root[other] != root[i]]
+            if len(other):
+                like = (sign[other] == sign[i]).sum(1)
+                own = other[np.argsort(-like, kind="stable")[:most]]
+                yield np.minimum(node[i], node[own]), np.maximum(node[i], node[own])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if batch.num_rows:
+                part = np.frombuffer(b"".join(column(batch, "p").to_pylist()), ">u4").reshape(-1, depth).astype(np.uint32)
+                sign = np.frombuffer(b"".join(column(batch, "s").to_pylist()), ">u4").reshape(batch.num_rows, -1)
+                own = [np.concatenate([column(batch, "o").to_numpy().astype(np.uint32)[:, None], part], 1), column(batch, "node").to_numpy(), column(batch, "root").to_numpy(), column(batch, "left").to_numpy(zero_copy_only=False).astype(bool), sign]
+                fresh = 0 if held is None else len(held[1])
+                held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+                found = list(pairs(*held, fresh))
+                a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                held = [x[-(2 * around + 1) :] for x in held]
+
+    return run
+
+
 def _bits(size: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, np.uint8)
@@ -209,7 +241,7 @@ def _confirm(percent: int) -> object:
     return run
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", keep: Sequence[str] = ("doc_id",), shingle: int = 5, percent: int = 80, orders: int = 16, depth: int = 6, reach: int = 8, pivots: int = 2, bitmap_bits: int = 1 << 27) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", keep: Sequence[str] = ("doc_id",), shingle: int = 5, percent: int = 80, orders: int = 16, depth: int = 6, reach: int = 8, pivots: int = 2, rescue: int = 256, rescue_reach: int = 8192, bitmap_bits: int = 1 << 27) -> DataFrame:
     """One row for each document row: row (struct of the kept columns), id, size (of its shingle set), component (smallest id reachable), kept.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of word shingles.
@@ -226,9 +258,12 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     signed = written(signed.withColumn("rid", F.monotonically_increasing_id()), "signatures")
     nodes = written(signed.where("size > 0").groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min("id").alias("low"), F.first("size").alias("size")), "nodes")
     forest = written(signed.select(F.col("rid").alias("node"), "s").join(nodes.select("node"), "node", "left_semi"), "forest")
-    sorted_ = forest.mapInArrow(_deal(orders, depth), "o int, p binary, node bigint")
-    count = max(1, min(math.ceil(nodes.count() * orders / 200_000), 100_000), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = sorted_.repartitionByRange(count, "o", "p", "node").sortWithinPartitions("o", "p", "node")
+    n_nodes, shuffles = nodes.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def in_order(dealt: DataFrame, n: int) -> DataFrame:
+        return dealt.repartitionByRange(max(1, min(math.ceil(n * orders / 200_000), 100_000), shuffles), "o", "p", "node").sortWithinPartitions("o", "p", "node")
+
+    sorted_ = in_order(_deal(forest, orders, depth), n_nodes)
     near = written(sorted_.mapInArrow(_neighbours(depth, shallow, reach), "kind bigint, a bigint, b bigint, v bigint"), "neighbours")
     pairs = near.where("kind = 0").groupBy("a", "b").agg(F.sum("v").alias("v"))
     members = near.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("region"))
@@ -241,7 +276,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     first = both.groupBy("a").agg(F.max_by("b", F.struct("v", (-F.col("b")).alias("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = written(first.unionByName(to_pivot).distinct(), "candidates")
 
-    wanted = pairs.select("a", "b").unionByName(first).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = pairs.select("a", "b").unionByName(first).unionByName(members.select(F.col("node").alias("a"), F.col("node").alias("b"))).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = written(nodes.join(wanted, "node").select("node", "k1", "k2"), "wanted")
     bits = 1 << max(16, min(bitmap_bits.bit_length() - 1, (16 * max(1, wanted.count())).bit_length()))
     masks = wanted.coalesce(4).mapInArrow(_bits(bits), "m binary").collect()  # 4 at most, of a fixed size
@@ -257,7 +292,21 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     root = {c: stars.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"}
     rest = pairs.join(first, ["a", "b"], "left_anti").join(root["a"], "a", "left").join(root["b"], "b", "left")
     rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    stars = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(confirmed(written(rest, "candidates"))))
+    links = stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    stars = components(links.unionByName(confirmed(written(rest, "candidates"))))
+    # Nodes of large regions that are not in the component of the region's first pivot get another look, as wide as the number of them allows.
+    rooted = written(members.select("node").distinct().join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
+    main = best.groupBy("region").agg(F.min("pivot").alias("node")).join(rooted, "node").select("region", F.col("root").alias("main"))
+    left = written(members.join(rooted, "node").join(main, "region").where("root <> main").select("node").distinct(), "left")
+    n_left = left.count()
+    if n_left:
+        around = max(reach, min(rescue_reach, rescue * n_nodes // (n_left * orders)))
+        most = max(2 * reach, min(64 * reach, 2 * n_nodes // (n_left * orders)))
+        marked = forest.join(rooted, "node").join(left.withColumn("left", F.lit(True)), "node", "left").withColumn("left", F.coalesce("left", F.lit(False)))
+        again_sorted = in_order(_deal(marked, orders, depth, "root", "left", "s"), rooted.count())
+        more = again_sorted.mapInArrow(_rescue(depth, shallow, around, most), "a bigint, b bigint").distinct()
+        links = stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        stars = components(links.unionByName(confirmed(written(more, "candidates"))))
     rooted = nodes.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = rooted.groupBy("root").agg(F.min("low").alias("component"))
     by_key = rooted.join(low, "root").select("k1", "k2", "component")
