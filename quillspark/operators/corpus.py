@@ -73,6 +73,21 @@ def subsamples(rows: DataFrame, sizes: Sequence[int], trials: int, id: str = "id
     return drawn.withColumn("size", F.explode(F.filter(F.array(*(F.lit(s) for s in sizes)), lambda s: s >= F.col("_place")))).drop("_place")
 
 
+def budget_subsamples(rows: DataFrame, budgets: Sequence[int], trials: int, words: str = "words", id: str = "id", seed: int = 7) -> DataFrame:
+    """size (the budget), trial and rows: each trial's own order is followed until the budget of words is reached."""
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    order = Window.partitionBy("trial").orderBy(F.md5(F.concat_ws(":", F.col(id).cast("string"), F.col("trial"), F.lit(seed))), id)
+    before = F.coalesce(F.sum(words).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drawn = drawn.withColumn("_before", before).where(F.col("_before") < max(budgets))
+    return drawn.withColumn("size", F.explode(F.filter(F.array(*(F.lit(b) for b in budgets)), lambda b: b > F.col("_before")))).drop("_before")
+
+
+def length_bands(rows: DataFrame, bands: int = 3, words: str = "words") -> DataFrame:
+    """Adds band (from 1, the shortest first): equal shares of the rows by length, from its exact quantiles."""
+    cuts = rows.agg(F.percentile(words, F.array(*(F.lit(k / bands) for k in range(1, bands)))).alias("c")).first()["c"] or []
+    return rows.withColumn("band", sum((F.when(F.col(words) > c, 1).otherwise(0) for c in cuts), F.lit(1)))
+
+
 def score_noise(scores: DataFrame, limit: float = 2.0) -> DataFrame:
     """size, mean_sd, median_sd, worst_sd, coverage: spread of drafts' scores over trials. scores: size, trial, draft, total."""
     by_draft = scores.where("total is not null").groupBy("size", "draft").agg(F.stddev_samp("total").alias("sd"), (F.max("total") - F.min("total")).alias("range"), (F.percentile("total", 0.9) - F.percentile("total", 0.1)).alias("trimmed_range"))

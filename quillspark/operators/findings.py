@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.regex import WORD, quote
 from quillspark.functions.text import column_of, line_of, matches
-from quillspark.operators.rules import Rule
+from quillspark.operators.rules import BUILTIN, Rule, load_rules
 from quillspark.operators.segments import CANDIDATE, DETECTORS, sentences
 
 
@@ -49,6 +50,20 @@ def audit(docs: DataFrame, rules: Sequence[Rule], *, keys: Sequence[str] = ("doc
     return out.select(*keys, "f.*", *where)
 
 
+class Auditor:
+    """Rules that are loaded once and applied to many tables."""
+
+    def __init__(self, rules: Sequence[Rule]):
+        self.rules = tuple(rules)
+
+    @classmethod
+    def from_file(cls, path: str | Path = BUILTIN) -> Auditor:
+        return cls(load_rules(path))
+
+    def audit(self, docs: DataFrame, **how) -> DataFrame:
+        return audit(docs, self.rules, **how)
+
+
 def ordered(findings: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """In source order."""
     return findings.orderBy(*keys, "char_offset", "rule_id")

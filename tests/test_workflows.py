@@ -84,6 +84,20 @@ def test_subsamples(spark):
     assert noise[5]["mean_sd"] > 0 and noise[5]["coverage"] == 1.0 and noise[5]["worst_sd"] == noise[5]["mean_sd"]
 
 
+def test_budgets_and_bands(spark):
+    df = spark.createDataFrame([(k, 10 + k % 3) for k in range(60)], "id int, words int")
+    got = {(r["size"], r["trial"]): r["w"] for r in corpus.budget_subsamples(df, [50, 200], 3).groupBy("size", "trial").agg(F.sum("words").alias("w")).collect()}
+    assert len(got) == 6 and all(k[0] <= w < k[0] + 12 for k, w in got.items())
+    bands = {r["band"]: r["n"] for r in corpus.length_bands(spark.createDataFrame([(k, k) for k in range(90)], "id int, words int")).groupBy("band").agg(F.count("*").alias("n")).collect()}
+    assert bands == {1: 30, 2: 30, 3: 30}
+
+
+def test_api():
+    import quillspark.api as api
+
+    assert "audit" in api.__all__ and len(api.Auditor.from_file("anti-ai").rules) == 38
+
+
 def test_corpus_command(spark, tmp_path, capsys):
     for k in range(4):
         (tmp_path / f"in/{k}.md").parent.mkdir(exist_ok=True)
