@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.cluster import shared_folder, ship
-from quillspark.llm.kernel import U64, column, slices
+from quillspark.llm.kernel import U64, column, lean, slices
 
 SENT = "chunk bigint, kind int, part int, width int, keys binary, extra binary"
 REPLY = "chunk bigint, kind int, part int, data binary, n bigint, v bigint"
@@ -69,12 +69,12 @@ class Corpus:
     def map(self, f: Callable, schema: str, *replies: DataFrame) -> DataFrame:
         """f(batches) over chunk, rows, texts, flags and replies (array of kind, part, data)."""
         if not replies:
-            return self.table.mapInArrow(f, schema)
+            return self.table.mapInArrow(lean(f), schema)
         got = replies[0]
         for more in replies[1:]:
             got = got.unionByName(more)
         got = got.groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "data")).alias("replies"))
-        return self.table.join(got.hint("shuffle_hash"), "chunk", "left").mapInArrow(f, schema)
+        return self.table.join(got.hint("shuffle_hash"), "chunk", "left").mapInArrow(lean(f), schema)
 
 
 def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray, dict[int, dict[int, bytes]]]]:

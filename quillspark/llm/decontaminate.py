@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.cluster import ship, written
-from quillspark.llm.kernel import ALNUM, Words, column, cover, member, minima, slices
+from quillspark.llm.kernel import ALNUM, Words, column, cover, lean, member, minima, slices
 
 SPAN = "array<struct<start:bigint,length:bigint>>"
 
@@ -145,7 +145,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         return _joined(docs, items, row, window, gram)
     table = items.toArrow()
     index = spark.sparkContext.broadcast(Index(table["item"].to_pylist(), table["t"].combine_chunks(), window, gram))
-    return docs.mapInArrow(_scan(index), f"row {row}, words bigint, hit_words bigint, spans {SPAN}, items array<string>")
+    return docs.mapInArrow(lean(_scan(index)), f"row {row}, words bigint, hit_words bigint, spans {SPAN}, items array<string>")
 
 
 # The way for items too large to broadcast.

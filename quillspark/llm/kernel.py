@@ -8,7 +8,9 @@ prefix sums, then mixed; equal words or windows always have equal hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -178,6 +180,20 @@ def joined_words(w: Words, keep: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), w.n_docs, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(out[inner].tobytes())]).cast(pa.string())
 
 
+def lean(f):
+    """A function of batches whose worker gives unused memory back when a task ends: workers outlive tasks, and executors' memory is shared with the JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     c = batch.column(batch.schema.get_field_index(name))
     return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.cluster import ship, written
-from quillspark.llm.kernel import column
+from quillspark.llm.kernel import column, lean
 
 FIELDS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 NAMES = ["row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "full"]
@@ -134,6 +134,6 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text",
     ship(docs.sparkSession)
     docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text}`").alias("t"))
     piece = f"row {docs.schema['row'].dataType.simpleString()}, {FIELDS}"
-    packed = written(docs.mapInArrow(_pack(vocabulary, pattern, end, size, open_windows, cut), f"{piece}, full boolean"), "packing")
+    packed = written(docs.mapInArrow(lean(_pack(vocabulary, pattern, end, size, open_windows, cut)), f"{piece}, full boolean"), "packing")
     left = packed.where("not full").withColumn("g", F.expr(f"shiftright(sequence_id, 40) div {group}"))
     return packed.where("full").drop("full").unionByName(left.groupBy("g").applyInArrow(_merge(size), piece))
