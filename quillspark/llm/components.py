@@ -27,15 +27,15 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root for every node with a link: root is the component's smallest node."""
+def components(links: DataFrame, task_rows: int = 250_000) -> DataFrame:
+    """node, root for every node with a link: root is the component's smallest node. Steps run in as many tasks as their rows need."""
     state = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     print_of = None
     while True:
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == print_of or not now[0]:
             break
-        print_of = now
-        state = written(_star(written(_star(state, True), "links"), False), "links")
+        print_of, tasks = now, 1 + now[0] // task_rows
+        state = written(_star(written(_star(state, True).coalesce(tasks), "links"), False).coalesce(tasks), "links")
     stars = state.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from quillspark.cluster import ship, written
 from quillspark.llm.components import components
-from quillspark.llm.kernel import NOT_SPACE, U64, Words, column, mix, slices, window_hashes
+from quillspark.llm.kernel import NOT_SPACE, U64, Words, column, lean, mix, slices, window_hashes
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def _neighbours(depth: int, shallow: int, reach: int) -> object:
 
 
 def _rescue(depth: int, shallow: int, around: int, most: int) -> object:
-    """Over sorted rows of large regions: for each row marked left, the ``most`` rows whose whole signatures are most alike, of those up to ``around`` places away that share the prefix and are in another component."""
+    """Over sorted rows of large regions: for each row marked left, the ``most`` rows whose whole signatures are most alike, of those up to ``around`` places away that share the prefix, in no earlier order, and are in another component."""
 
     def pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, left: np.ndarray, sign: np.ndarray, fresh: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """A pair is looked at when the later of its rows is fresh."""
@@ -174,6 +174,9 @@ def _rescue(depth: int, shallow: int, around: int, most: int) -> object:
                 lo = max(lo, fresh)
             other = np.arange(lo, hi)
             other = other[root[other] != root[i]]
+            # A pair counts in the first order in which it shares the prefix, so each order brings pairs of its own.
+            shared = (sign[other].reshape(len(other), sign.shape[1] // depth, depth)[:, :, :shallow] == sign[i].reshape(-1, depth)[:, :shallow]).all(2)
+            other = other[shared.argmax(1) == key[i, 0]] if len(other) else other
             if len(other):
                 like = (sign[other] == sign[i]).sum(1)
                 own = other[np.argsort(-like, kind="stable")[:most]]
@@ -254,7 +257,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     # Texts are not written with the signatures: where they are kept, the last step reads them and finds their keys again.
     again = text in keep
     first_pass = docs.withColumn("row", F.lit(None).cast(docs.schema["row"].dataType)) if again else docs
-    signed = first_pass.mapInArrow(_sign(shingle, orders * depth), fields)
+    signed = first_pass.mapInArrow(lean(_sign(shingle, orders * depth)), fields)
     signed = written(signed.withColumn("rid", F.monotonically_increasing_id()), "signatures")
     nodes = written(signed.where("size > 0").groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min("id").alias("low"), F.first("size").alias("size")), "nodes")
     forest = written(signed.select(F.col("rid").alias("node"), "s").join(nodes.select("node"), "node", "left_semi"), "forest")
@@ -281,7 +284,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     bits = 1 << max(16, min(bitmap_bits.bit_length() - 1, (16 * max(1, wanted.count())).bit_length()))
     masks = wanted.coalesce(4).mapInArrow(_bits(bits), "m binary").collect()  # 4 at most, of a fixed size
     bitmap = np.bitwise_or.reduce([np.frombuffer(m[0], np.uint8) for m in masks]).tobytes() if masks else bytes(bits // 8)
-    sets = docs.mapInArrow(_sets(shingle, spark.sparkContext.broadcast(bitmap)), "k1 bigint, k2 bigint, hs binary")
+    sets = docs.mapInArrow(lean(_sets(shingle, spark.sparkContext.broadcast(bitmap))), "k1 bigint, k2 bigint, hs binary")
     sets = written(sets.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "hs"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -301,7 +304,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     n_left = left.count()
     if n_left:
         around = max(reach, min(rescue_reach, rescue * n_nodes // (n_left * orders)))
-        most = max(2 * reach, min(64 * reach, 2 * n_nodes // (n_left * orders)))
+        most = max(2, min(64 * reach, 2 * n_nodes // (n_left * orders)))
         marked = forest.join(rooted, "node").join(left.withColumn("left", F.lit(True)), "node", "left").withColumn("left", F.coalesce("left", F.lit(False)))
         again_sorted = in_order(_deal(marked, orders, depth, "root", "left", "s"), rooted.count())
         more = again_sorted.mapInArrow(_rescue(depth, shallow, around, most), "a bigint, b bigint").distinct()
@@ -310,7 +313,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     rooted = nodes.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = rooted.groupBy("root").agg(F.min("low").alias("component"))
     by_key = rooted.join(low, "root").select("k1", "k2", "component")
-    rows = docs.mapInArrow(_sign(shingle, 0), fields) if again else signed
+    rows = docs.mapInArrow(lean(_sign(shingle, 0)), fields) if again else signed
     out = rows.drop("s").join(by_key, ["k1", "k2"], "left")
     component = F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select("row", "id", "size", component.alias("component"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
