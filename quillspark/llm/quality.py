@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.cluster import ship, written
-from quillspark.llm.kernel import U64, Words, column, mix, slices
+from quillspark.llm.kernel import U64, Words, column, lean, mix, slices
 
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".", b",;:", b"!?", b"#$%&*@^~+=<>_\\", b"|", b"()[]{}", b"\"'`", b"-/", b"\n", bytes(range(128, 256))]
 BINS, LOW, HIGH = 2000, -0.5, 1.5
@@ -93,10 +93,15 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count, sums and sums of squares of a partition, as one row."""
     for batch in batches:
         if batch.num_rows:
             x = _matrix(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([x.sum(0).tolist()], pa.list_(pa.float64())), pa.array([(x * x).sum(0).tolist()], pa.list_(pa.float64()))], ["n", "a", "b"])
+            yield _sum_row(0, np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
+
+
+def _sum_row(fold: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([fold], pa.int64()), pa.array([values.tobytes()], pa.binary())], ["fold", "m"])
 
 
 class Model:
@@ -134,7 +139,7 @@ def _sums(model) -> object:
                 own = np.concatenate([z[fold == f], y[fold == f, None]], 1)
                 total[f] = total.get(f, 0) + own.T @ own
         for f, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["fold", "m"])
+            yield _sum_row(f, x)
 
     return run
 
@@ -203,7 +208,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", id:
     # Texts are not written with the statistics: where they are kept, the last step finds their statistics again.
     again = text in keep
     first_pass = docs.withColumn("row", F.lit(None).cast(docs.schema["row"].dataType)) if again else docs
-    stats = written(first_pass.mapInArrow(_featurise, fields), "statistics")
+    stats = written(first_pass.mapInArrow(lean(_featurise), fields), "statistics")
     rows = docs if again else stats
     known = labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.avg("y").alias("y"))
     known = known.where(learn).withColumn("fold", fold.cast("long"))
@@ -212,11 +217,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", id:
     if n > max_labelled:
         known = known.where(F.col("pick") < F.lit(int(-(2**63) + 2**64 * (max_labelled / n))))
     known = written(known.select("x", "y", "fold"), "labelled")
-    part = known.mapInArrow(_moments, "n bigint, a array<double>, b array<double>").groupBy().agg(F.sum("n"), *(F.array(*(F.sum(F.get(c, F.lit(k))) for k in range(_WIDTH))) for c in "ab")).first()
-    if not part[0]:
+    part = known.mapInArrow(_moments, "fold bigint, m binary").groupBy("fold").applyInArrow(_add, "fold bigint, m binary").collect()  # one row
+    if not part:
         return rows.select("row", F.lit(0.5).alias("score"))
-    mean = np.array(part[1]) / part[0]
-    model = Model(mean, np.sqrt(np.maximum(np.array(part[2]) / part[0] - mean * mean, 0)), features, width, seed)
+    total = np.frombuffer(part[0]["m"])
+    mean, square = total[1:].reshape(2, -1) / total[0]
+    model = Model(mean, np.sqrt(np.maximum(square - mean * mean, 0)), features, width, seed)
     sums = known.mapInArrow(_sums(spark.sparkContext.broadcast(model)), "fold bigint, m binary").groupBy("fold").applyInArrow(_add, "fold bigint, m binary").collect()
     gram = {r["fold"]: np.frombuffer(r["m"]).reshape(features + 2, features + 2) for r in sums}  # as many as there are folds, of a fixed size
 
@@ -233,7 +239,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", id:
         count[r["bin"]], ones[r["bin"]] = r["n"], r["y"]
     model.steps = isotonic(count, ones)
     final = spark.sparkContext.broadcast(model)
-    return rows.mapInArrow(_score_texts(final) if again else _apply(final, False), f"row {row}, score double")
-
+    return rows.mapInArrow(lean(_score_texts(final) if again else _apply(final, False)), f"row {row}, score double")
 
-_WIDTH = statistics(pa.array([""])).shape[1]
