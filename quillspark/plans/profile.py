@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.cluster import written
 from quillspark.functions.text import casefold, column_of, line_of, slug, token_count
 from quillspark.operators import assess
 from quillspark.operators import metrics as m
@@ -102,8 +103,9 @@ class Assessment:
 
 
 def assess_drafts(drafts: DataFrame, profile: Profile, rules: Sequence[Rule], keys: Sequence[str] = ("doc_id",), text: str = "text") -> Assessment:
-    findings = audit(drafts, rules, keys=keys, text=text)
-    gaps = style_gap(drafts, profile, keys, text)
+    # Both are read several times below, and they hold all the work on texts.
+    findings = written(audit(drafts, rules, keys=keys, text=text), "findings")
+    gaps = written(style_gap(drafts, profile, keys, text), "gaps")
     counts = findings.groupBy(*keys, "rule_id").agg(F.count("*").alias("draft_count"))
     baseline = assess.rule_baseline(gaps, counts, profile.rules, profile.words, keys)
     scored = gaps.where((F.col("words") > 0) & F.col("draft_flesch_reading_ease").isNotNull())
