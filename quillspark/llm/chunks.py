@@ -108,8 +108,22 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return counts
 
 
-def send(chunk: int, kind: int, keys: np.ndarray, bits: int, parts: int, extra: np.ndarray, pack: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> pa.RecordBatch | None:
-    """keys: distinct and sorted, of ``bits`` bits; extra: an array beside them, packed part by part."""
+def pack_steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps of four bytes; steps that need more follow as eight bytes each."""
+    steps = np.diff(keys, prepend=U64(0))
+    wide = steps >= U64(0xFFFFFFFF)
+    return np.uint32(len(keys)).tobytes() + np.where(wide, U64(0xFFFFFFFF), steps).astype("<u4").tobytes() + steps[wide].astype("<u8").tobytes()
+
+
+def unpack_steps(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    steps = np.frombuffer(data, "<u4", n, 4).astype(U64)
+    steps[steps == U64(0xFFFFFFFF)] = np.frombuffer(data, "<u8", offset=4 + 4 * n)
+    return np.cumsum(steps, dtype=U64)
+
+
+def send(chunk: int, kind: int, keys: np.ndarray, bits: int, parts: int, extra: np.ndarray, pack: Callable[[np.ndarray], bytes] = np.ndarray.tobytes, steps: bool = False) -> pa.RecordBatch | None:
+    """keys: distinct and sorted, of ``bits`` bits; extra: an array beside them, packed part by part. steps: whether keys lie so close that steps are shorter; width is 0 then."""
     if not len(keys):
         return None
     rest = bits - (parts.bit_length() - 1)
@@ -117,8 +131,12 @@ def send(chunk: int, kind: int, keys: np.ndarray, bits: int, parts: int, extra:
     part = (keys >> U64(rest)).astype(np.int64)
     edge = np.searchsorted(part, np.arange(parts + 1))
     own = np.flatnonzero(np.diff(edge))
-    raw = np.ascontiguousarray((keys & U64((1 << rest) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
-    cells = [raw[edge[p] : edge[p + 1]].tobytes() for p in own]
+    keys = keys & U64((1 << rest) - 1)
+    if steps:
+        width, cells = 0, [pack_steps(keys[edge[p] : edge[p + 1]]) for p in own]
+    else:
+        raw = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+        cells = [raw[edge[p] : edge[p + 1]].tobytes() for p in own]
     more = [pack(extra[edge[p] : edge[p + 1]]) for p in own]
     n = len(own)
     return pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(own.astype(np.int32)), pa.array([width] * n, pa.int32()), pa.array(cells, pa.binary()), pa.array(more, pa.binary())], ["chunk", "kind", "part", "width", "keys", "extra"])
@@ -127,6 +145,9 @@ def send(chunk: int, kind: int, keys: np.ndarray, bits: int, parts: int, extra:
 def received(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all rows of a part, and where each row's begin."""
     width = table["width"][0].as_py()
+    if not width:
+        each = [unpack_steps(x.as_py()) for x in table["keys"]]
+        return np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each]))
     raw = np.frombuffer(b"".join(x.as_py() for x in table["keys"]), np.uint8).reshape(-1, width)
     keys = np.zeros((len(raw), 8), np.uint8)
     keys[:, :width] = raw
