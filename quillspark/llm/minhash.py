@@ -3,7 +3,7 @@
 1. Each text's distinct word shingles give a signature of ``orders`` * ``depth`` MinHash values
    and a 128-bit key of the set. Documents with equal sets are one node from here on, so copies cost nothing more.
 2. The forest: for each order, nodes are sorted by that order's part of the signature. Sorted
-   neighbours, up to ``reach`` places apart, that share a long enough prefix are candidates:
+   neighbours, less than 2 * ``reach`` places apart, that share a long enough prefix are candidates:
    ``shallow`` values in a region (a run with one such prefix) of at most 2 * reach nodes, and in
    larger ones the depth at which a node's region has become as small. Nodes that many others equal
    in all of an order's values are linked with their next. ``shallow`` follows from the similarity: a
@@ -20,7 +20,7 @@
    components that share a region with them, ``rescue`` comparisons for each node of the corpus in all (so each
    with the whole region if few are left), and the most alike are confirmed.
 
-Sets hold 64-bit hashes of shingles. A pair that a partition boundary splits in one order is met in the others.
+Sets hold 64-bit hashes of shingles. A region that a partition boundary cuts is treated as a large one, whatever its size.
 
 Cases: a null text, or one without words, has an empty set, links with nothing and is its own
 component. Fewer words than a shingle: the whole sequence is the only shingle. Repeated rows
@@ -119,27 +119,27 @@ def _runs(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _neighbours(depth: int, shallow: int, reach: int) -> object:
-    """Over sorted rows. kind 0: candidate a < b, v: length of the common prefix. kind 1: node a lies in the large region b."""
+    """Over sorted rows. kind 0: candidate a < b, v: length of the common prefix. kind 1: node a lies in the large region b. A region that the partition's ends may cut counts as large."""
 
-    def pairs(key: np.ndarray, node: np.ndarray, fresh: int) -> pa.RecordBatch:
-        """fresh: rows before it were there already, as the last of an earlier batch."""
+    def pairs(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         first, region_size = _runs(key, shallow + 1)  # the order itself is the first column
         # The depth at which a row's region is small; beyond all values where there is none.
         need = np.full(len(key), depth + 1)
         for d in range(depth, shallow - 1, -1):
             need[_runs(key, d + 1)[1] <= 2 * reach] = d
         a, b, v = [], [], []
-        for j in range(1, min(reach, len(node) - 1) + 1):
+        for j in range(1, min(2 * reach, len(node))):
             same = np.cumprod(key[j:] == key[:-j], axis=1).sum(1) - 1
             near = same >= np.maximum(need[:-j], need[j:])
             if j == 1:
                 near |= same == depth  # many nodes with all values of the order in common: a chain, besides the pivots
-            at = np.flatnonzero(near & (np.arange(len(same)) + j >= fresh))
+            at = np.flatnonzero(near)
             a.append(node[at])
             b.append(node[at + j])
             v.append(same[at])
         region = mix(window_hashes(key[first].astype(U64)[:, : shallow + 1].ravel(), shallow + 1)[:: shallow + 1])
-        large = (region_size > 2 * reach) & (np.arange(len(node)) >= fresh)
+        large = region_size > 2 * reach
+        large[: first[1] if len(first) > 1 else None] = large[first[-1] :] = True
         region = np.repeat(region, np.diff(np.append(first, len(node))))
         a, b, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, v))
         n = int(large.sum())
@@ -147,22 +147,20 @@ def _neighbours(depth: int, shallow: int, reach: int) -> object:
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["kind", "a", "b", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node = np.zeros((0, depth + 1), np.uint32), np.zeros(0, np.int64)
+        keys, nodes = [], []  # of a whole partition, so no region is cut between batches
         for batch in batches:
             if batch.num_rows:
                 part = np.frombuffer(b"".join(column(batch, "p").to_pylist()), ">u4").reshape(-1, depth).astype(np.uint32)
-                fresh = len(node)
-                key = np.concatenate([key, np.concatenate([column(batch, "o").to_numpy().astype(np.uint32)[:, None], part], 1)])
-                node = np.concatenate([node, column(batch, "node").to_numpy()])
-                yield pairs(key, node, fresh)
-                keep = 2 * reach + 1
-                key, node = key[-keep:], node[-keep:]
+                keys.append(np.concatenate([column(batch, "o").to_numpy().astype(np.uint32)[:, None], part], 1))
+                nodes.append(column(batch, "node").to_numpy())
+        if nodes:
+            yield pairs(np.concatenate(keys), np.concatenate(nodes))
 
     return run
 
 
 def _rescue(depth: int, shallow: int, around: int, most: int) -> object:
-    """Over sorted rows of large regions: for each row marked left, the ``most`` rows whose whole signatures are most alike, of those up to ``around`` places away that share the prefix, in no earlier order, and are in another component."""
+    """Over sorted rows of large regions: for each row marked left, the ``most`` rows whose whole signatures are most alike, of those up to ``around`` places away that share the prefix and are in another component."""
 
     def pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, left: np.ndarray, sign: np.ndarray, fresh: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """A pair is looked at when the later of its rows is fresh."""
@@ -174,9 +172,6 @@ def _rescue(depth: int, shallow: int, around: int, most: int) -> object:
                 lo = max(lo, fresh)
             other = np.arange(lo, hi)
             other = other[root[other] != root[i]]
-            # A pair counts in the first order in which it shares the prefix, so each order brings pairs of its own.
-            shared = (sign[other].reshape(len(other), sign.shape[1] // depth, depth)[:, :, :shallow] == sign[i].reshape(-1, depth)[:, :shallow]).all(2)
-            other = other[shared.argmax(1) == key[i, 0]] if len(other) else other
             if len(other):
                 like = (sign[other] == sign[i]).sum(1)
                 own = other[np.argsort(-like, kind="stable")[:most]]

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 from quillspark.llm.components import components
-from quillspark.llm.minhash import near_duplicates, shingle_sets, signatures
+from quillspark.llm.minhash import _neighbours, near_duplicates, shingle_sets, signatures
 
 from tests.llm.helpers import empty_documents, lower, odd_documents, plain_words, text
 
@@ -108,3 +108,25 @@ def test_shares_are_of_distinct_shingles():
 
     _, _, size, _ = shingle_sets(pa.array(["a a a a a a", "a b a b a b", None, "x"]), 3)
     assert size.tolist() == [1, 2, 0, 1] and size.dtype == np.int64
+
+
+def dealt(rows, depth):
+    """Batches of sorted rows (order, part of the signature, node), cut after two thirds."""
+    import pyarrow as pa
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([np.array(r[1], ">u4").tobytes() for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], ["o", "p", "node"])
+
+    cut = len(rows) * 2 // 3
+    return iter([batch(rows[:cut]), batch(rows[cut:])])
+
+
+def test_regions_are_whole_across_batches_and_ends():
+    reach, rows = 2, [(0, (1, k), 10 + k) for k in range(3)] + [(0, (2, k), 20 + k) for k in range(4)] + [(0, (3, k), 30 + k) for k in range(6)] + [(0, (4, 0), 40)]
+    for cut in (rows, rows[3:13], rows[5:]):
+        out = [r for b in _neighbours(2, 1, reach)(dealt(cut, 2)) for r in b.to_pylist()]
+        pairs, members = {(r["a"], r["b"]) for r in out if r["kind"] == 0}, {r["a"] for r in out if r["kind"] == 1}
+        assert {n for _, _, n in cut if 30 <= n < 40} <= members  # large, whatever batch its rows came in
+        assert {cut[0][2], cut[-1][2]} <= members  # may go on in another partition
+        inner = [n for _, _, n in cut if 20 <= n < 30]
+        assert {(a, b) for a in inner for b in inner if a < b} <= pairs or cut[0][2] in inner  # a small region: all pairs
