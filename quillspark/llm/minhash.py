@@ -15,10 +15,12 @@
    then all whose ends are not yet in one component. Sets are shipped only for nodes with candidates: a
    bitmap of fixed size tells which, and what it lets through too much is dropped by a join.
 
-5. What step 2 leaves out in large regions gets a second look: nodes of a large region that are not
-   in its first pivot's component by then are compared, by their whole signatures, with the nodes of other
-   components that share a region with them, ``rescue`` comparisons for each node of the corpus in all (so each
-   with the whole region if few are left), and the most alike are confirmed.
+5. What step 2 leaves out in large regions is finished exactly: each node of a large region that is not
+   in its first pivot's component by then is compared, by its whole set, with all nodes of other components
+   that share a region with it. Two nodes of a region are in one component or one of them is so compared,
+   so no pair that shares a region is left out. Regions of one first pivot are one group, so a pair is
+   compared once for a pivot, not for each order; a group is cut into blocks of ``block`` hashes, and a task
+   gets two of them and gives only links that join components. Comparisons grow with the rows left over times the group.
 
 Sets hold 64-bit hashes of shingles. A region that a partition boundary cuts is treated as a large one, whatever its size.
 
@@ -36,6 +38,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,37 +162,49 @@ def _neighbours(depth: int, shallow: int, reach: int) -> object:
     return run
 
 
-def _rescue(depth: int, shallow: int, around: int, most: int) -> object:
-    """Over sorted rows of large regions: for each row marked left, the ``most`` rows whose whole signatures are most alike, of those up to ``around`` places away that share the prefix and are in another component."""
-
-    def pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, left: np.ndarray, sign: np.ndarray, fresh: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """A pair is looked at when the later of its rows is fresh."""
-        first, size = _runs(key, shallow + 1)
-        start = np.repeat(first, size[first])
-        for i in np.flatnonzero(left):
-            lo, hi = max(start[i], i - around), min(start[i] + size[i], i + around + 1)
-            if i < fresh:
-                lo = max(lo, fresh)
-            other = np.arange(lo, hi)
-            other = other[root[other] != root[i]]
-            if len(other):
-                like = (sign[other] == sign[i]).sum(1)
-                own = other[np.argsort(-like, kind="stable")[:most]]
-                yield np.minimum(node[i], node[own]), np.maximum(node[i], node[own])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            if batch.num_rows:
-                part = np.frombuffer(b"".join(column(batch, "p").to_pylist()), ">u4").reshape(-1, depth).astype(np.uint32)
-                sign = np.frombuffer(b"".join(column(batch, "s").to_pylist()), ">u4").reshape(batch.num_rows, -1)
-                own = [np.concatenate([column(batch, "o").to_numpy().astype(np.uint32)[:, None], part], 1), column(batch, "node").to_numpy(), column(batch, "root").to_numpy(), column(batch, "left").to_numpy(zero_copy_only=False).astype(bool), sign]
-                fresh = 0 if held is None else len(held[1])
-                held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
-                found = list(pairs(*held, fresh))
-                a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                held = [x[-(2 * around + 1) :] for x in held]
+def _finish(percent: int) -> object:
+    """Compares every row marked left with every other row by their whole sets; of the links, as many as join the components."""
+
+    def sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        raw = table["hs"].to_pylist()
+        size = np.array([len(x) // 8 for x in raw], np.int64)
+        return table["node"].to_numpy(), table["root"].to_numpy(), size, np.frombuffer(b"".join(raw), U64)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        node, root, size, h = sets(table.filter(table["left"]))
+        n2, r2, s2, h2 = sets(table.filter(pa.compute.invert(table["left"])).sort_by([("size", "ascending"), ("node", "ascending")]))
+        a, b = [], []
+        if len(node) and len(n2):
+            words, ids = np.unique(h, return_inverse=True)
+            at = np.minimum(np.searchsorted(words, h2), len(words) - 1)
+            known = words[at] == h2  # others are in no set of the left rows
+            edge = np.append(0, np.cumsum(known))[np.append(0, np.cumsum(s2))]
+            at, mark, first = at[known].astype(np.int32), np.zeros(len(words), np.uint8), np.append(0, np.cumsum(size))
+            lows = np.searchsorted(s2, -(-size * percent // 100))
+            highs = np.searchsorted(s2, 100 * size // percent, "right")
+            joined: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while x in joined:
+                    x = joined[x]
+                return x
+
+            for i in range(len(node)):
+                lo, hi = lows[i], highs[i]
+                if lo >= hi or (r2[lo:hi] == root[i]).all():
+                    continue
+                own = ids[first[i] : first[i + 1]]
+                mark[own] = 1
+                total = np.append(0, np.cumsum(mark[at[edge[lo] : edge[hi]]], dtype=np.int64))
+                mark[own] = 0
+                both = total[edge[lo + 1 : hi + 1] - edge[lo]] - total[edge[lo:hi] - edge[lo]]
+                for k in lo + np.flatnonzero((both > 0) & (100 * both >= percent * (size[i] + s2[lo:hi] - both)) & (r2[lo:hi] != root[i])):
+                    x, y = find(int(root[i])), find(int(r2[k]))
+                    if x != y:
+                        joined[max(x, y)] = min(x, y)
+                        a.append(min(node[i], n2[k]))
+                        b.append(max(node[i], n2[k]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -239,7 +254,7 @@ def _confirm(percent: int) -> object:
     return run
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", keep: Sequence[str] = ("doc_id",), shingle: int = 5, percent: int = 80, orders: int = 16, depth: int = 6, reach: int = 8, pivots: int = 2, rescue: int = 256, rescue_reach: int = 8192, bitmap_bits: int = 1 << 27) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", keep: Sequence[str] = ("doc_id",), shingle: int = 5, percent: int = 80, orders: int = 16, depth: int = 6, reach: int = 8, pivots: int = 2, block: int = 1 << 20, bitmap_bits: int = 1 << 27) -> DataFrame:
     """One row for each document row: row (struct of the kept columns), id, size (of its shingle set), component (smallest id reachable), kept.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of word shingles.
@@ -267,7 +282,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     members = near.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("region"))
     weight = members.groupBy("node").agg(F.count("*").alias("n"))
     best = members.join(weight, "node").groupBy("region", F.pmod("node", F.lit(64)).alias("salt")).agg(F.max(F.struct("n", (-F.col("node")).alias("node"))).alias("x"))
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("x")))).where(F.col("r") <= pivots).select("region", (-F.col("x.node")).alias("pivot"))
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("x")))).where(F.col("r") <= pivots).select("region", (-F.col("x.node")).alias("pivot"), "r")
     to_pivot = members.join(best, "region").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     pairs = written(pairs, "candidates")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "v"))
@@ -292,19 +307,20 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
     links = stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
     stars = components(links.unionByName(confirmed(written(rest, "candidates"))))
-    # Nodes of large regions that are not in the component of the region's first pivot get another look, as wide as the number of them allows.
-    rooted = written(members.select("node").distinct().join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
-    main = best.groupBy("region").agg(F.min("pivot").alias("node")).join(rooted, "node").select("region", F.col("root").alias("main"))
-    left = written(members.join(rooted, "node").join(main, "region").where("root <> main").select("node").distinct(), "left")
-    n_left = left.count()
-    if n_left:
-        around = max(reach, min(rescue_reach, rescue * n_nodes // (n_left * orders)))
-        most = max(2, min(64 * reach, 2 * n_nodes // (n_left * orders)))
-        marked = forest.join(rooted, "node").join(left.withColumn("left", F.lit(True)), "node", "left").withColumn("left", F.coalesce("left", F.lit(False)))
-        again_sorted = in_order(_deal(marked, orders, depth, "root", "left", "s"), rooted.count())
-        more = again_sorted.mapInArrow(_rescue(depth, shallow, around, most), "a bigint, b bigint").distinct()
-        links = stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        stars = components(links.unionByName(confirmed(written(more, "candidates"))))
+    # Rows of large regions that are not in the component of the region's first pivot are compared with all of the region; regions of one first pivot are one group.
+    rooted = written(members.select("node").distinct().join(stars, "node", "left").join(nodes, "node").select("node", "size", F.coalesce("root", "node").alias("root")), "rooted")
+    main = best.where("r = 1").select("region", F.col("pivot").alias("g")).join(rooted.select(F.col("node").alias("g"), F.col("root").alias("main")), "g")
+    grouped = written(members.join(main, "region").select("g", "main", "node").distinct().join(rooted, "node"), "grouped")
+    # A group in blocks of sets of bounded size: each block of left rows meets each block of the group.
+    blocks = grouped.groupBy("g").agg(F.ceil(F.sum(F.when(F.col("root") != F.col("main"), F.col("size"))) / block).alias("n_left"), F.ceil(F.sum("size") / block).alias("n_all")).where("n_left > 0")
+    salted = grouped.join(blocks, "g").withColumn("salt", F.xxhash64("node"))
+    own = F.pmod("salt", "n_left"), F.pmod("salt", "n_all")
+    every = [F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)) for c in ("n_left", "n_all")]
+    cells = salted.where("root <> main").select("g", own[0].alias("i"), every[1].alias("j"), F.lit(True).alias("left"), "node", "root", "size")
+    cells = cells.unionByName(salted.select("g", every[0].alias("i"), own[1].alias("j"), F.lit(False).alias("left"), "node", "root", "size"))
+    more = cells.join(sets, "node").groupBy("g", "i", "j").applyInArrow(_finish(percent), "a bigint, b bigint")
+    links = stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    stars = components(links.unionByName(more.distinct()))
     rooted = nodes.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = rooted.groupBy("root").agg(F.min("low").alias("component"))
     by_key = rooted.join(low, "root").select("k1", "k2", "component")

@@ -130,3 +130,18 @@ def test_regions_are_whole_across_batches_and_ends():
         assert {cut[0][2], cut[-1][2]} <= members  # may go on in another partition
         inner = [n for _, _, n in cut if 20 <= n < 30]
         assert {(a, b) for a in inner for b in inner if a < b} <= pairs or cut[0][2] in inner  # a small region: all pairs
+
+
+def test_pairs_within_a_hot_group(spark):
+    """Hundreds of texts of one template, at 0.7 to each other, some with one partner above the threshold."""
+    rng = random.Random(12)
+    base, docs = text(rng, 200), []
+    for k in range(900):
+        t = edited(rng, base, 0.03)
+        docs.append((len(docs), t))
+        if k % 3 == 0:
+            docs.append((len(docs), edited(rng, t, 0.022)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    wanted = brute(docs, 3, 85)
+    assert result(near_duplicates(df, shingle=3, percent=85)) == wanted
+    assert result(near_duplicates(df, shingle=3, percent=85, block=30_000)) == wanted  # many blocks
