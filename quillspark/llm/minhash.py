@@ -9,7 +9,7 @@
    in all of an order's values are linked with their next. ``shallow`` follows from the similarity: a
    linked pair misses it in all orders with a probability of at most 2e-5.
 3. In regions of more than 2 * reach nodes, each node is a candidate with the region's pivots too: the
-   nodes that lie in the most large regions. The original of many edited copies is such a node,
+   nodes whose values the most others have, summed over their large regions and all depths of them. The original of many edited copies is such a node,
    also where the copies are too far from each other to be linked. So work stays linear in a region's size.
 4. Candidates are confirmed by exact set similarity, first each node's best one and the pivots,
    then all whose ends are not yet in one component. Sets are shipped only for nodes with candidates: a
@@ -122,14 +122,16 @@ def _runs(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _neighbours(depth: int, shallow: int, reach: int) -> object:
-    """Over sorted rows. kind 0: candidate a < b, v: length of the common prefix. kind 1: node a lies in the large region b. A region that the partition's ends may cut counts as large."""
+    """Over sorted rows. kind 0: candidate a < b, v: length of the common prefix. kind 1: node a lies in the large region b, v: rows with its first values, summed over all depths. A region that the partition's ends may cut counts as large."""
 
     def pairs(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         first, region_size = _runs(key, shallow + 1)  # the order itself is the first column
         # The depth at which a row's region is small; beyond all values where there is none.
-        need = np.full(len(key), depth + 1)
+        need, alike = np.full(len(key), depth + 1), np.zeros(len(key), np.int64)
         for d in range(depth, shallow - 1, -1):
-            need[_runs(key, d + 1)[1] <= 2 * reach] = d
+            run_size = _runs(key, d + 1)[1]
+            need[run_size <= 2 * reach] = d
+            alike += run_size
         a, b, v = [], [], []
         for j in range(1, min(2 * reach, len(node))):
             same = np.cumprod(key[j:] == key[:-j], axis=1).sum(1) - 1
@@ -146,7 +148,7 @@ def _neighbours(depth: int, shallow: int, reach: int) -> object:
         region = np.repeat(region, np.diff(np.append(first, len(node))))
         a, b, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, v))
         n = int(large.sum())
-        cols = [np.append(np.zeros(len(a), np.int64), np.ones(n, np.int64)), np.append(np.minimum(a, b), node[large]), np.append(np.maximum(a, b), region[large].view(np.int64)), np.append(v, np.zeros(n, np.int64))]
+        cols = [np.append(np.zeros(len(a), np.int64), np.ones(n, np.int64)), np.append(np.minimum(a, b), node[large]), np.append(np.maximum(a, b), region[large].view(np.int64)), np.append(v, alike[large])]
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["kind", "a", "b", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,8 +281,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     sorted_ = in_order(_deal(forest, orders, depth), n_nodes)
     near = written(sorted_.mapInArrow(_neighbours(depth, shallow, reach), "kind bigint, a bigint, b bigint, v bigint"), "neighbours")
     pairs = near.where("kind = 0").groupBy("a", "b").agg(F.sum("v").alias("v"))
-    members = near.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("region"))
-    weight = members.groupBy("node").agg(F.count("*").alias("n"))
+    members = near.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("region"), "v")
+    weight = members.groupBy("node").agg(F.sum("v").alias("n"))
     best = members.join(weight, "node").groupBy("region", F.pmod("node", F.lit(64)).alias("salt")).agg(F.max(F.struct("n", (-F.col("node")).alias("node"))).alias("x"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("x")))).where(F.col("r") <= pivots).select("region", (-F.col("x.node")).alias("pivot"), "r")
     to_pivot = members.join(best, "region").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()

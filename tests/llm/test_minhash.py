@@ -145,3 +145,9 @@ def test_pairs_within_a_hot_group(spark):
     wanted = brute(docs, 3, 85)
     assert result(near_duplicates(df, shingle=3, percent=85)) == wanted
     assert result(near_duplicates(df, shingle=3, percent=85, block=30_000)) == wanted  # many blocks
+
+
+def test_rows_with_a_regions_common_values_weigh_most():
+    rows = [(0, (1, 5), 10 + k) for k in range(4)] + [(0, (1, 6 + k), 20 + k) for k in range(5)]
+    weight = {r["a"]: r["v"] for b in _neighbours(2, 1, 2)(dealt(rows, 2)) for r in b.to_pylist() if r["kind"] == 1}
+    assert min(weight[10 + k] for k in range(4)) > max(weight[20 + k] for k in range(5)) > 0
