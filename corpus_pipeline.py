@@ -17,7 +17,7 @@ from quillspark.cluster import drop, noting, written
 from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.lines import dedup_lines
 from quillspark.llm.minhash import near_duplicates
-from quillspark.llm.packing import pack
+from quillspark.llm.packing import added_tokens, pack
 from quillspark.llm.quality import score_quality
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -85,7 +85,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
     import public_tokenizers
 
-    packed = pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    packed = pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
     return packed.select("row.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -15,6 +15,7 @@ windows; no id is dropped.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -35,14 +36,30 @@ FIELDS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequ
 NAMES = ["row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "full"]
 
 
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a file of ``tokenizers``, as (string, id). It matches them in texts whatever ``add_special_tokens`` is."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError(f"{path}: added tokens that match in other ways than as they are")
+    return tuple((t["content"], t["id"]) for t in found)
+
+
 @cache
-def encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
-    """Ids by a byte-level BPE given as ranks. Strings of special tokens are ordinary text."""
+def encoder(path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> Callable[[str], list[int]]:
+    """Ids by a byte-level BPE given as ranks; texts are split at added tokens, which have their own ids."""
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    bpe = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
+
+    def encode(text: str) -> list[int]:
+        if any(t in text for t, _ in added):
+            return bpe.encode(text, allowed_special="all", disallowed_special=())
+        return bpe.encode_ordinary(text)
+
+    return encode
 
 
 class Packer:
@@ -83,9 +100,9 @@ def _rows(pieces: list[tuple], kind: pa.DataType, full: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:]), pa.array([full] * len(pieces))], NAMES)
 
 
-def _pack(path: str, pattern: str, end: int, size: int, most: int, cut: bool) -> object:
+def _pack(path: str, pattern: str, added: tuple[tuple[str, int], ...], end: int, size: int, most: int, cut: bool) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base, names = encoder(path, pattern), TaskContext.get().partitionId() << 40, count()
+        encode, base, names = encoder(path, pattern, added), TaskContext.get().partitionId() << 40, count()
         packer, waiting, kind = Packer(size, most, lambda: base + next(names), cut), defaultdict(list), None
         for batch in batches:
             out: list[tuple] = []
@@ -126,14 +143,14 @@ def _merge(size: int) -> object:
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text", keep: Sequence[str] = ("doc_id",), end: int = 0, size: int = 1024, open_windows: int = 32, group: int = 64, cut: bool = True) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text", keep: Sequence[str] = ("doc_id",), end: int = 0, size: int = 1024, open_windows: int = 32, group: int = 64, cut: bool = True, added: Sequence[tuple[str, int]] = ()) -> DataFrame:
     """One row for each piece: row (struct of the kept columns), start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    vocabulary: path of a file of byte-level BPE ranks, the same on every machine; pattern: its splitting pattern.
+    vocabulary: path of a file of byte-level BPE ranks, the same on every machine; pattern: its splitting pattern; added: its added tokens.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text}`").alias("t"))
     piece = f"row {docs.schema['row'].dataType.simpleString()}, {FIELDS}"
-    packed = written(docs.mapInArrow(lean(_pack(vocabulary, pattern, end, size, open_windows, cut)), f"{piece}, full boolean"), "packing")
+    packed = written(docs.mapInArrow(lean(_pack(vocabulary, pattern, tuple(added), end, size, open_windows, cut)), f"{piece}, full boolean"), "packing")
     left = packed.where("not full").withColumn("g", F.expr(f"shiftright(sequence_id, 40) div {group}"))
     return packed.where("full").drop("full").unionByName(left.groupBy("g").applyInArrow(_merge(size), piece))

@@ -13,7 +13,7 @@ from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.lines import dedup_lines
 from quillspark.llm.lm import score_texts
 from quillspark.llm.minhash import near_duplicates
-from quillspark.llm.packing import pack
+from quillspark.llm.packing import added_tokens, pack
 from quillspark.llm.quality import score_quality
 from quillspark.llm.secrets import scan_secrets
 from quillspark.llm.substring import remove_repeats
@@ -40,7 +40,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
     return out.select("row.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from quillspark.llm.packing import Packer, pack
+from quillspark.llm.packing import Packer, added_tokens, encoder, pack
 
 from tests.llm.helpers import empty_documents, odd_documents
 
@@ -76,3 +76,10 @@ def test_packer_places_best_fit_and_emits_the_fullest():
     assert place(5) == [(5, 3, 0)] and p.closed == [1, 2]  # none fits: the fullest goes
     q = Packer(10, 1, lambda: next(names), True)
     assert list(q.place(8)) == [(8, 4, 0)] and list(q.place(5)) == [(2, 4, 8), (3, 5, 0)]
+
+
+def test_added_tokens_have_their_own_ids():
+    encode = encoder(*ARGS, added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n a", "x  \n <|endoftext|>  y", "<|endoftext|", "no token", "\u00e9 <|endoftext|>'s", ""]
+    assert [[*encode(t), 0] for t in texts] == ids_of(texts)
+    assert encode(texts[0]) == [31373, 220, 50256, 995]
