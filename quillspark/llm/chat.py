@@ -5,7 +5,9 @@ Consecutive lines of one level above 0 are a quoted passage. Passages are normal
 and outer blanks dropped, runs of white space made one space, ASCII lower case) and hashed; the same is
 done with what messages say themselves (level 0): the whole, its paragraphs and its lines.
 
-A passage is linked to the latest earlier message of its conversation that says it. A
+A passage is linked to the latest earlier message of its conversation that says it. One of two
+lines or more that no message says so is linked to the latest that holds its lines one after the
+other, blank lines aside: runs of as many lines are hashed, of the lengths that the conversation needs. A
 message answers the message that its first linked passage of the lowest level names, else the one
 before it; so an answer always comes after what it answers, and the order of
 turns within a conversation is a reply order. The body of a message is its level 0 text.
@@ -50,19 +52,30 @@ def parse_quotes(messages: DataFrame, text: str = "t") -> DataFrame:
     return out.withColumn("body", F.regexp_replace(body, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).withColumn("quotes", quotes).drop("lines", "blocks")
 
 
+def _lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n", -1), normalised), lambda x: x != "")
+
+
 def link_quotations(messages: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = 512) -> DataFrame:
     """One row for each message: conv, turn, role, body, reply_to (turn), quotes, linked (numbers of passages)."""
     rows = messages.select(F.col(f"`{conversation}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("t"))
     rows = written(parse_quotes(rows).drop("t").withColumn("rid", F.monotonically_increasing_id()), "messages")
 
     passage = F.posexplode("quotes")
-    quoted = rows.where("size(quotes) > 0").select("rid", "conv", "turn", passage).select("rid", "conv", "turn", "pos", F.col("col.level").alias("level"), normalised(F.col("col.passage")).alias("p"))
-    quoted = quoted.where(F.col("p").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).select("rid", "conv", "turn", "pos", "level", F.xxhash64("p").alias("h"), F.length("p").alias("size"))
+    quoted = rows.where("size(quotes) > 0").select("rid", "conv", "turn", passage).select("rid", "conv", "turn", "pos", F.col("col.level").alias("level"), normalised(F.col("col.passage")).alias("p"), F.size(_lines(F.col("col.passage"))).alias("k"))
+    quoted = quoted.where(F.col("p").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).select("rid", "conv", "turn", "pos", "level", "k", F.xxhash64("p").alias("h"), F.length("p").alias("size"))
     # Only conversations with a quote need their messages hashed.
     said = rows.join(quoted.select("conv").distinct(), "conv", "left_semi")
     parts = F.array_union(F.array("body"), F.array_union(F.split("body", r"\n[ \t]*\n"), F.split("body", "\n")))
     said = said.select("conv", F.col("turn").alias("said"), F.explode(F.array_distinct(F.transform(parts, normalised))).alias("p")).select("conv", "said", F.xxhash64("p").alias("h"), F.length("p").alias("size"))
     links = quoted.join(said.distinct(), ["conv", "h", "size"]).where("said < turn").groupBy("rid", "pos", "level").agg(F.max("said").alias("said"))
+    # Passages without a match as a whole: runs of lines.
+    open_ = quoted.where("k > 1").join(links.select("rid", "pos"), ["rid", "pos"], "left_anti")
+    held = rows.select("conv", F.col("turn").alias("said"), _lines(F.col("body")).alias("own")).join(open_.select("conv", "k").distinct(), "conv").where(F.size("own") >= F.col("k"))
+    runs = held.select("conv", "said", "k", F.explode(F.expr("array_distinct(transform(sequence(1, size(own) - k + 1), i -> array_join(slice(own, i, k), ' ')))")).alias("p"))
+    runs = runs.select("conv", "said", "k", F.xxhash64("p").alias("h"), F.length("p").alias("size"))
+    excerpts = open_.join(runs.distinct(), ["conv", "k", "h", "size"]).where("said < turn").groupBy("rid", "pos", "level").agg(F.max("said").alias("said"))
+    links = links.unionByName(excerpts)
     links = links.groupBy("rid").agg(F.count("*").alias("linked"), F.min(F.struct("level", "pos", "said")).alias("link"))
 
     own = F.floor(F.col("turn") / F.lit(block))

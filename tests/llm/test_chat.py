@@ -60,3 +60,10 @@ def test_odd_input(spark):
     assert link_quotations(df.limit(0)).count() == 0
     long = spark.createDataFrame([(1, 0, "user", "x\n" * 3000), (1, 1, "user", "> x\n" * 3000)], SCHEMA)
     assert link_quotations(long).count() == 2
+
+
+def test_excerpts_are_linked(spark):
+    said = [(1, 0, "user", "a\nb\nc"), (1, 1, "user", "One.\n\nTwo  two.\n\nThree."), (1, 2, "user", "b\nx\nc")]
+    quotes = [(1, 3, "user", "> B\n> c\nyes"), (1, 4, "user", "> two two.\n>\n> Three.\nyes"), (1, 5, "user", "> a\n> c\nno"), (1, 6, "user", "> a\n> b\nand\n> One.\n> Two two.")]
+    rows = {r["turn"]: (r["reply_to"], r["linked"]) for r in link_quotations(spark.createDataFrame(said + quotes, SCHEMA)).collect()}
+    assert [rows[k] for k in (3, 4, 5, 6)] == [(0, 1), (1, 1), (4, 0), (0, 2)]
