@@ -2,8 +2,13 @@
 
 A word is a run of bytes of one class; both classes used here are unions of ASCII sets
 and "all bytes from 0x80", so working on UTF-8 bytes finds the same words as working
-on code points. Hashes are 64-bit polynomial hashes with odd multipliers, taken from
-prefix sums, then mixed; equal words or windows always have equal hashes.
+on code points.
+
+A word's hash adds up its blocks of eight bytes, each mixed with a pseudo-random number for its place;
+a window's hash mixes those of its two halves, down to words. Every step but the
+sum is a 64-bit mixing that is not linear, so no pattern of words or letters makes two texts' hashes agree; different
+words or windows agree by chance alone, with a probability of 2**-64 or little more for a pair. A second
+family of hashes, of other numbers, is independent of the first: who decides by both is wrong with 2**-128.
 """
 
 from __future__ import annotations
@@ -17,9 +22,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_R = 0x9E3779B97F4A7C15
-_Q = 0xC2B2AE3D27D4EB4F
-_POWERS: dict[int, np.ndarray] = {}
+_STEP = U64(0x9E3779B97F4A7C15)
+
+# For the first and the second family of hashes.
+_SEEDS = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
+_LEFT = (U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3))
+_RIGHT = (U64(0xC2B2AE3D27D4EB4F), U64(0x1D8E4E27C47D124F))
 
 #: Bytes of a word: everything but space and 0x09-0x0D.
 NOT_SPACE = np.ones(256, bool)
@@ -42,20 +50,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 12), base, U64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= 1 << 23:
-            _POWERS[base] = have
-    return have[:n]
-
-
-def _inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+#: The first k bytes of a little-endian block, for k from 0 to 8.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 class Words:
@@ -72,8 +68,11 @@ class Words:
         raw = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and n else np.zeros(0, np.uint8)
         self.offsets = offsets - offsets[0]
         self.raw = raw
-        data = LOWER[raw] if lower else raw
+        padded = np.zeros(len(raw) + 8, np.uint8)
+        data = padded[:-8]
+        data[:] = LOWER[raw] if lower else raw
         self.data = data
+        self._blocks = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # eight bytes from each place on
         inside = table[data]
         edge = self.offsets[:-1][np.diff(self.offsets) > 0]
         first, last = inside.copy(), inside.copy()
@@ -89,42 +88,70 @@ class Words:
         self.bounds = bounds  # words of text i: bounds[i] .. bounds[i + 1]
         self.count = np.diff(bounds)
         self.doc = np.repeat(np.arange(n), self.count)
-        self.h = np.empty(len(self.start), U64)
-        lo = 0
-        while lo < len(self.start):  # words that start within 1 MB at a time, so a long text needs little more memory
-            hi = int(np.searchsorted(self.start, self.start[lo] + (1 << 20)))
-            at, to = self.start[lo], self.end[hi - 1]
-            total = np.zeros(to - at + 1, U64)
-            np.cumsum((data[at:to].astype(U64) + U64(1)) * _powers(_R, to - at), out=total[1:])
-            self.h[lo:hi] = (total[self.end[lo:hi] - at] - total[self.start[lo:hi] - at]) * _powers(_inverse(_R), 1 << 20)[self.start[lo:hi] - at]
-            lo = hi
-        self.h = mix(self.h)
-        self._prefix: np.ndarray | None = None
+        self.h = self.hashes(0, len(self))
+        self._second: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, lo: int, hi: int, family: int = 0) -> np.ndarray:
+        """Of the words lo .. hi - 1; of words that start within 1 MB at a time, so a long text needs little more memory."""
+        out = [np.zeros(0, U64)]
+        while lo < hi:
+            to = min(hi, int(np.searchsorted(self.start, self.start[lo] + (1 << 20))))
+            out.append(self.hash_of(np.arange(lo, to), family))
+            lo = to
+        return np.concatenate(out)
+
+    def hash_of(self, words: np.ndarray, family: int = 0) -> np.ndarray:
+        """Of some words, given by their numbers."""
+        start, size = self.start[words], self.end[words] - self.start[words]
+        seed = _SEEDS[family]
+        total = mix((self._blocks[start] & _MASKS[np.minimum(size, 8)]) ^ seed)
+        more = np.flatnonzero(size > 8)
+        if len(more):
+            n = (size[more] - 1) // 8  # blocks after the first
+            first = np.cumsum(n) - n
+            k = np.arange(int(n.sum())) - np.repeat(first, n) + 1
+            rest = np.repeat(size[more], n) - 8 * k
+            block = self._blocks[np.repeat(start[more], n) + 8 * k] & _MASKS[np.minimum(rest, 8)]
+            total[more] += np.add.reduceat(mix(block ^ mix(k.astype(U64) * _STEP + seed)), first)
+        return mix(total + size.astype(U64) * _STEP)
+
+    @property
+    def second(self) -> np.ndarray:
+        """Hashes of the second family."""
+        if self._second is None:
+            self._second = self.hashes(0, len(self), 1)
+        return self._second
+
+    def windows(self, n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each window of n words, and whether its words are of one text. Lengths: len(self) - n + 1."""
-        return window_hashes(self.h, n, self), self.whole(n)
+        return window_hashes(self.second if family else self.h, n, family), self.whole(n)
+
+    def windows_at(self, starts: np.ndarray, n: int, family: int = 0) -> np.ndarray:
+        """Hashes of the windows of n words that start at some words, found from these words alone."""
+        words = starts[:, None] + np.arange(n)
+        own, place = np.unique(words, return_inverse=True)
+        return window_hashes(self.hash_of(own, family)[place].reshape(words.shape), n, family).reshape(len(starts))
 
     def whole(self, n: int) -> np.ndarray:
         m = max(0, len(self) - n + 1)
         return self.doc[:m] == self.doc[n - 1 : n - 1 + m]
 
 
-def window_hashes(h: np.ndarray, n: int, keep: Words | None = None) -> np.ndarray:
-    """Hash of each run of n consecutive hashes."""
-    m = len(h) - n + 1
-    if m <= 0:
-        return np.zeros(0, U64)
-    total = keep._prefix if keep is not None else None
-    if total is None:
-        total = np.zeros(len(h) + 1, U64)
-        np.cumsum(h * _powers(_Q, len(h)), out=total[1:])
-        if keep is not None:
-            keep._prefix = total
-    return mix((total[n:] - total[:m]) * _powers(_inverse(_Q), m) + U64(n))
+def longer(h: np.ndarray, half: int, n: int, family: int = 0) -> np.ndarray:
+    """Hashes of windows of n words from those of ``half`` words, n / 2 <= half < n, along the last axis."""
+    m = max(0, h.shape[-1] - (n - half))
+    return mix(h[..., :m] * _LEFT[family] + h[..., n - half : n - half + m] * _RIGHT[family] + U64(n))
+
+
+def window_hashes(h: np.ndarray, n: int, family: int = 0) -> np.ndarray:
+    """Hash of each run of n consecutive hashes, along the last axis."""
+    if n == 1:
+        return mix(h + U64(1))
+    half = (n + 1) // 2
+    return longer(window_hashes(h, half, family), half, n, family)
 
 
 def minima(values: np.ndarray, w: int, one: np.ndarray) -> np.ndarray:

@@ -34,3 +34,9 @@ def plain_words(s: str | None) -> list[str]:
 
 def alnum_words(s: str | None) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(s or ""))
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two different words that polynomial hashes modulo a power of two do not tell apart."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))

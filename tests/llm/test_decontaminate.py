@@ -3,7 +3,7 @@ import random
 import pytest
 from quillspark.llm.decontaminate import decontaminate
 
-from tests.llm.helpers import alnum_words, empty_documents, odd_documents, text
+from tests.llm.helpers import alnum_words, empty_documents, odd_documents, text, thue_morse
 
 
 def brute(docs, items):
@@ -64,3 +64,27 @@ def test_odd_input(spark, limit):
     assert sorted((r["hit_words"], r["items"]) for r in out)[-2:] == [(3, ["1"]), (3, ["1"])]
     assert decontaminate(empty_documents(spark), items, broadcast_bytes=limit).count() == 0
     assert {r["hit_words"] for r in decontaminate(odd_documents(spark), items.limit(0), broadcast_bytes=limit).collect()} == {0}
+
+
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_words_in_thue_morse_order_are_not_taken_for_equal(spark, limit):
+    one, other = thue_morse(1024)
+    rest = "a b c d e f g h i"
+    out = decontaminate(spark.createDataFrame([(1, f"{rest} {one}"), (2, f"{rest} {other}")], "doc_id bigint, text string"), spark.createDataFrame([(1, f"{rest} {one}")], "item_id bigint, text string"), broadcast_bytes=limit)
+    assert {(r["row"]["doc_id"], r["hit_words"]) for r in out.collect()} == {(1, 10), (2, 0)}
+
+
+def test_items_whose_windows_share_a_hash_are_told_apart():
+    import numpy as np
+    import pyarrow as pa
+    from quillspark.llm.decontaminate import Index
+    from quillspark.llm.kernel import ALNUM, Words
+
+    rng = random.Random(8)
+    items = [text(rng, 12) for _ in range(6)]
+    index = Index([str(k) for k in range(6)], pa.array(items), 10, 5)
+    keys, second, first, of = index.windows[10]
+    index.windows[10] = (np.full(len(keys), 5, np.uint64), np.sort(second), first, of)  # as if all first hashes were equal
+    words = Words(pa.array(items), ALNUM, lower=True)
+    starts = np.flatnonzero(words.whole(10))
+    assert index.find(words, starts, np.full(len(starts), 5, np.uint64), 10)[0].tolist() == starts.tolist()

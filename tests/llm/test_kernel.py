@@ -52,3 +52,34 @@ def test_a_long_text_is_hashed_in_parts():
     one = "word " * 400_000
     w = k.Words(pa.array([one, "word"]))
     assert len(set(w.h.tolist())) == 1 and len(w) == 400_001
+
+
+def _thue_morse(n: int) -> str:
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_and_windows_of_thue_morse_order_differ():
+    one = _thue_morse(4096)
+    for n in (64, 1024, 2048, 4096):
+        w = k.Words(pa.array([one[:n], one[:n].translate(str.maketrans("ab", "ba"))]))
+        assert w.h[0] != w.h[1] and w.second[0] != w.second[1]
+        spaced = k.Words(pa.array([" ".join(one[:n]), " ".join(one[:n].translate(str.maketrans("ab", "ba")))]))
+        for family in (0, 1):
+            h, whole = spaced.windows(n, family)
+            assert len(set(h[whole].tolist())) == 2
+
+
+def test_families_differ_and_parts_equal_the_whole():
+    import numpy as np
+
+    w = k.Words(pa.array(["one twothreefour " * 50 + "x" * 1000 + " " + "x" * 1001, "", None, "one"]))
+    assert (w.h != w.second).all()
+    for family in (0, 1):
+        h, whole = w.windows(10, family)
+        at = np.flatnonzero(whole)[::3]
+        assert (w.windows_at(at, 10, family) == h[at]).all()
+
+
+def test_a_very_long_word():
+    w = k.Words(pa.array(["y" * 5_000_000, "y" * 4_999_999 + "z", "y" * 5_000_000]))
+    assert w.h[0] == w.h[2] != w.h[1]

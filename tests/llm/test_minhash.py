@@ -5,7 +5,7 @@ import pytest
 from quillspark.llm.components import components
 from quillspark.llm.minhash import _neighbours, near_duplicates, shingle_sets, signatures
 
-from tests.llm.helpers import empty_documents, lower, odd_documents, plain_words, text
+from tests.llm.helpers import empty_documents, lower, odd_documents, plain_words, text, thue_morse
 
 
 def shingles(t, n):
@@ -22,11 +22,16 @@ def brute(docs, n, percent):
             x = root[x]
         return x
 
-    for a in range(len(docs)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                root[max(find(a), find(b))] = min(find(a), find(b))
+    words = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    cells = np.zeros((len(docs), len(words)), np.float32)
+    for k, own in enumerate(sets):
+        cells[k, [words[g] for g in own]] = 1
+    size = cells.sum(1)
+    for lo in range(0, len(docs), 500):
+        both = cells[lo : lo + 500] @ cells.T
+        for a, b in np.argwhere((both > 0) & (100 * both >= percent * (size[lo : lo + 500, None] + size - both))).tolist():
+            a += lo
+            root[max(find(a), find(b))] = min(find(a), find(b))
     low = {}
     for k, (i, _) in enumerate(docs):
         low[find(k)] = min(low.get(find(k), i), i)
@@ -56,13 +61,18 @@ def test_equals_brute_force(spark, n, percent):
 
 
 def test_many_copies_of_one_original(spark):
-    """Copies linked with their original only, not with each other: a star of hundreds."""
+    """Copies linked with their original only, not with each other: a star of thousands."""
     rng = random.Random(11)
-    base = text(rng, 200)
-    docs = [(10_000, base)] + [(k, edited(rng, base, 0.022)) for k in range(400)] + [(20_000 + k, text(rng, 150)) for k in range(50)]
+    base = text(rng, 120)
+    docs = [(10_000, base)] + [(k, edited(rng, base, 0.022)) for k in range(2500)] + [(20_000 + k, text(rng, 150)) for k in range(50)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
-    got, wanted = result(near_duplicates(df, shingle=3, percent=85)), brute(docs, 3, 85)
-    assert sum(a == b for a, b in zip(got, wanted, strict=True)) >= len(docs) - 1
+    assert result(near_duplicates(df, shingle=3, percent=85)) == brute(docs, 3, 85)
+
+
+def test_words_in_thue_morse_order_are_not_taken_for_equal(spark):
+    one, other = thue_morse(2048)
+    df = spark.createDataFrame([(1, one), (2, other), (3, one.upper())], "doc_id bigint, text string")
+    assert result(near_duplicates(df)) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)]
 
 
 def test_odd_input(spark):
