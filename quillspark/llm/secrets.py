@@ -12,10 +12,12 @@ an opaque run if linked to an access id, an identifier or an endpoint; an endpoi
 and an identifier or access id. Candidates that overlap a base span are dropped.
 
 Spans count code points, the end is exclusive. Each text is one row's work: matches are found in one
-pass and joined by a sweep over sorted intervals, without pairs of a text's parts.
+pass and joined by bisection over sorted intervals, without pairs of a text's parts.
 
 Cases: a null or empty text has no spans. Repeated rows get the same spans. Very long texts are
-scanned whole; the sweep is linear in the number of parts.
+scanned whole. No pattern looks at a character more often than a fixed number of times: runs that may be names or
+hosts are taken from their first character and never given back. So a name before ``@`` has 64 characters at most, a
+longer run is none. The join takes a logarithm of the number of parts for each.
 """
 
 from __future__ import annotations
@@ -40,9 +42,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "identifier", "opaque", "endpoint")
 
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_IDENTIFIER = re.compile(r"""[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\b(?:user(?:_?name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}""", re.IGNORECASE | re.ASCII)
-_OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-_ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|\b(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}\b""", re.IGNORECASE | re.ASCII)
+_IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+|\b(?:user(?:_?name)?|login|client_?id|account)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9._@+-]{3,}+""", re.IGNORECASE | re.ASCII)
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}")
+_URL = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]++""", re.IGNORECASE | re.ASCII)
+_HOST_PORT = re.compile(r"(?<![a-z0-9.-])[.-]*+([a-z0-9.-]++):[0-9]{2,5}\b", re.IGNORECASE | re.ASCII)
+_HOST = re.compile(r"(?:[a-z0-9-]++\.)++[a-z]{2,}+", re.IGNORECASE | re.ASCII)
 _BLANK = re.compile(r"\n[ \t]*\n")
 _SECRET, _NAME = ("assign", "hex", "opaque"), ("access", "identifier")
 
@@ -64,19 +68,37 @@ def _mixed(s: str) -> bool:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) >= 3.5
 
 
+def endpoints(t: str) -> list[tuple[int, int]]:
+    """URLs, then host:port pairs outside of them."""
+    urls = [m.span() for m in _URL.finditer(t)] if "://" in t else []
+    ends = [b for _, b in urls]
+    out = list(urls)
+    for m in _HOST_PORT.finditer(t):
+        k = bisect_right(ends, m.start(1))
+        if _HOST.fullmatch(m[1]) and (k == len(urls) or urls[k][0] >= m.end()):
+            out.append((m.start(1), m.end()))
+    return out
+
+
 def weak_spans(t: str, base: Sequence[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Candidates that overlap no base span."""
-    taken = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in taken]
-    longest = max((b - a for a, b in taken), default=0)
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(base, key=lambda s: s[1:]):  # as intervals that do not overlap
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
 
     def free(a: int, b: int) -> bool:
-        return not any(taken[k][1] > a for k in range(bisect_left(starts, a - longest), bisect_left(starts, b)))
+        k = bisect_left(starts, b)
+        return not k or ends[k - 1] <= a
 
     out = [("opaque", m.start(), m.end()) for m in _OPAQUE.finditer(t) if _mixed(m.group()) and free(m.start(), m.end())]
     if out or any(kind in _SECRET for kind, _, _ in base):  # every link has a secret on one side
         out += [("identifier", m.start(), m.end()) for m in _IDENTIFIER.finditer(t) if free(m.start(), m.end())]
-        out += [("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(t) if free(m.start(), m.end())]
+        out += [("endpoint", a, b) for a, b in endpoints(t) if free(a, b)]
     return out
 
 

@@ -1,7 +1,9 @@
 import random
 import re
+import time
 
-from quillspark.llm.secrets import base_spans, linked, scan_secrets, weak_spans
+import pytest
+from quillspark.llm.secrets import base_spans, endpoints, linked, scan_secrets, weak_spans
 
 from tests.llm.helpers import empty_documents, odd_documents
 
@@ -77,3 +79,26 @@ def test_odd_input(spark):
     out = scan_secrets(odd_documents(spark), keep=["doc_id", "t"]).collect()
     assert len(out) == 9 and {r["row"]["t"] for r in out} == {"own"}
     assert scan_secrets(empty_documents(spark)).count() == 0
+
+
+def test_endpoints():
+    def found(t):
+        return sorted(t[a:b] for a, b in endpoints(t))
+
+    assert found("see host.example.net:8080, a.b:1, x.y.org:65535x .db.local:5432 https://u.example.com:443/x") == ["db.local:5432", "host.example.net:8080", "https://u.example.com:443/x"]
+    assert found("a." * 50 + "com:80") == ["a." * 50 + "com:80"] and found("12:30 v1.2:33") == []
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["a.", "a-", "x@", "x@a.", "a.b:8 ", "0f", "0123456789abcdef" * 2 + " ", "token=abcdefgh1 ", "token=abcdefgh1", "user=", "user: joe_doe ", "password:", "AKIA", "A1b2C3d4E5f6G7h8I9j0K ", "aB3", "joe@example.com ", "http://", "h://x.y:80 ", "host.example.net:8080 ", " ", "account ", "=", "é.", "\n\n", "user=abc A1b2C3d4E5f6G7h8I9j0K https://x.org/p token=abcdefgh1 joe@example.com "],
+)
+def test_a_megabyte_takes_linear_time(piece):
+    took = []
+    for size in (250_000, 1_000_000):
+        t = piece * (size // len(piece))
+        began = time.process_time()
+        base = base_spans(t)
+        linked(t, base, weak_spans(t, base), 240)
+        took.append(time.process_time() - began)
+    assert took[1] < max(1.5, 8 * took[0]) and took[1] < 6, took
