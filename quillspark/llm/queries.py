@@ -80,7 +80,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = link_quotations(_table(spark, sf_dir, "conversations"))
-    return out.select(F.col("conv").alias("conv_id"), "turn", "role", "reply_to", F.col("quotes").alias("n_quotes"), F.col("linked").alias("n_linked"), F.sha2("body", 256).alias("body_sha256"))
+    return out.select(F.col("conv").alias("conv_id"), "turn", "role", "reply_to", "thread", F.col("quotes").alias("n_quotes"), F.col("linked").alias("n_linked"), F.sha2("body", 256).alias("body_sha256"))
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,7 @@ select doc_id, len(w)::bigint n_words, coalesce(len(g), 0)::bigint n_removed,
        sha256(array_to_string(case when g is null then w else [w[i] for i in range(1, len(w) + 1) if not list_contains(g, i)] end, ' ')) kept_sha256
 from d left join gone using (rid)""",
     "op6_chat": r"""
-with m as (select row_number() over () rid, *, coalesce(text, '') t from conversations),
+with recursive m as (select row_number() over () rid, *, coalesce(text, '') t from conversations),
 l as (select rid, i, string_split(t, chr(10))[i] s from (select rid, t, unnest(range(1, len(string_split(t, chr(10))) + 1)) i from m)),
 q as (select rid, i, len(regexp_replace(regexp_extract(s, '^[ \t]*((?:>[ \t]?)*)', 1), '[^>]', '', 'g')) level, regexp_replace(s, '^[ \t]*(?:>[ \t]?)+', '') s from l),
 g as (select *, i - row_number() over (partition by rid, level order by i) run from q),
@@ -162,12 +162,21 @@ b as (select rid, regexp_replace(coalesce(string_agg(s, chr(10) order by i) filt
 n as (select m.conv_id, m.turn, p.rid, p.level, p.i, translate(trim(regexp_replace(p.s, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') p from p join m using (rid) where level > 0),
 said as (select distinct conv_id, turn, translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') p
   from (select conv_id, turn, unnest(list_concat([body], list_concat(regexp_split_to_array(body, '\n[ \t]*\n'), string_split(body, chr(10))))) x from b join m using (rid))),
-k as (select rid, i, level, max(said.turn) said from n join said on n.conv_id = said.conv_id and n.p = said.p and said.turn < n.turn
+whole as (select rid, i, level, max(said.turn) said from n join said on n.conv_id = said.conv_id and n.p = said.p and said.turn < n.turn
       where regexp_matches(n.p, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]') group by rid, i, level),
-f as (select rid, count(*) linked, arg_min(said, level * 1000000 + i) said from k group by rid),
-t as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) prior from (select distinct conv_id, turn from m where conv_id is not null and turn is not null))
-select m.conv_id, m.turn, m.role, coalesce(f.said, t.prior) reply_to, quotes::bigint n_quotes, coalesce(linked, 0)::bigint n_linked, sha256(body) body_sha256
-from m join b using (rid) left join f using (rid) left join t on t.conv_id = m.conv_id and t.turn = m.turn""",
+ln as (select rid, level, i, [y for y in [translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') for x in string_split(s, chr(10))] if y <> ''] a from p),
+bl as (select m.conv_id, m.turn, [y for y in [translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') for x in string_split(body, chr(10))] if y <> ''] a from b join m using (rid)),
+o as (select n.*, len(ln.a) k, array_to_string(ln.a, ' ') run from n join ln using (rid, i) where len(ln.a) > 1 and regexp_matches(n.p, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]') and (rid, i) not in (select (rid, i) from whole)),
+rr as (select distinct conv_id, turn, k, array_to_string(a[j:j + k - 1], ' ') run from (select bl.*, kk.k, unnest(range(1, len(a) - kk.k + 2)) j from bl join (select distinct conv_id, k from o) kk using (conv_id) where len(a) >= kk.k)),
+k as (select * from whole union all select o.rid, o.i, o.level, max(rr.turn) from o join rr on o.conv_id = rr.conv_id and o.k = rr.k and o.run = rr.run and rr.turn < o.turn group by 1, 2, 3),
+f as (select rid, count(*) linked, arg_min(said, level * 1000000 + i) said, min(level * 1000000 + i) place from k group by rid),
+t as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) prior from (select distinct conv_id, turn from m where conv_id is not null and turn is not null)),
+g2 as (select t.conv_id, t.turn, coalesce(arg_min(f.said, f.place), any_value(t.prior)) parent from t join m on t.conv_id = m.conv_id and t.turn = m.turn left join f using (rid) group by all),
+heir as (select conv_id, parent, min(turn) turn from g2 where parent is not null group by all),
+th as (select conv_id, turn, turn thread from g2 where (conv_id, turn) not in (select (conv_id, turn) from heir)
+       union all select heir.conv_id, heir.turn, th.thread from th join heir on heir.conv_id = th.conv_id and heir.parent = th.turn)
+select m.conv_id, m.turn, m.role, coalesce(f.said, t.prior) reply_to, th.thread, quotes::bigint n_quotes, coalesce(linked, 0)::bigint n_linked, sha256(body) body_sha256
+from m join b using (rid) left join f using (rid) left join t on t.conv_id = m.conv_id and t.turn = m.turn left join th on th.conv_id = m.conv_id and th.turn = m.turn""",
     "op9_lines": r"""
 with d as (select row_number() over () rid, doc_id, text, coalesce(string_split(text, chr(10)), []) a from documents),
 l as (select rid, doc_id, row_number() over (partition by rid order by i) k, i, s

@@ -1,4 +1,8 @@
+import random
+import time
+
 import duckdb
+import pytest
 from quillspark.llm.chat import conversations, link_quotations
 from quillspark.llm.queries import ORACLES, op6_chat
 
@@ -50,7 +54,7 @@ def test_blocks_do_not_change_links(spark):
         out = {r["turn"]: r["reply_to"] for r in link_quotations(df, block=block).collect()}
         assert out == {k: None if k == 0 else k - 3 if k >= 3 else k - 1 for k in range(50)}
     rows = conversations(link_quotations(df), block=20).collect()
-    assert sorted(len(r["messages"]) for r in rows) == [10, 20, 20]
+    assert sum(len(r["messages"]) for r in rows) == 50 and max(len(r["messages"]) for r in rows) <= 20
     assert all([m["turn"] for m in r["messages"]] == sorted(m["turn"] for m in r["messages"]) for r in rows)
 
 
@@ -67,3 +71,49 @@ def test_excerpts_are_linked(spark):
     quotes = [(1, 3, "user", "> B\n> c\nyes"), (1, 4, "user", "> two two.\n>\n> Three.\nyes"), (1, 5, "user", "> a\n> c\nno"), (1, 6, "user", "> a\n> b\nand\n> One.\n> Two two.")]
     rows = {r["turn"]: (r["reply_to"], r["linked"]) for r in link_quotations(spark.createDataFrame(said + quotes, SCHEMA)).collect()}
     assert [rows[k] for k in (3, 4, 5, 6)] == [(0, 1), (1, 1), (4, 0), (0, 2)]
+
+
+def threads(replies):
+    """By turn: the first answer to a message goes on with its thread."""
+    out, taken = {}, set()
+    for turn in sorted(replies):
+        to = replies[turn]
+        out[turn] = turn if to is None or to in taken else out[to]
+        taken.add(to)
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 7, 512])
+def test_threads_follow_first_answers(spark, block):
+    rng = random.Random(block)
+    rows = []
+    for conv in range(6):
+        for turn in sorted(rng.sample(range(90), 45)):
+            to = rng.choice([t for c, t, *_ in rows if c == conv] or [None]) if rng.random() < 0.5 else None
+            rows.append((conv, turn, "user", (f"> said in {to}\n" if to is not None else "") + f"said in {turn}"))
+    out = link_quotations(spark.createDataFrame(rows, SCHEMA), block=block).collect()
+    for conv in range(6):
+        own = {r["turn"]: r for r in out if r["conv"] == conv}
+        assert {t: r["thread"] for t, r in own.items()} == threads({t: r["reply_to"] for t, r in own.items()})
+        assert all(r["reply_to"] is None or (own[r["reply_to"]]["thread"], r["reply_to"]) < (r["thread"], t) for t, r in own.items())  # an answer comes after
+
+
+def test_thousands_of_messages_that_quote_one_line(spark):
+    n = 5000
+    df = spark.createDataFrame([(1, k, "user", "> the same line\nthe same line") for k in range(n)] + [(2, 0, "user", "x")], SCHEMA)
+    began = time.time()
+    out = {r["turn"]: (r["reply_to"], r["linked"]) for r in link_quotations(df).where("conv = 1").collect()}
+    assert out == {k: (k - 1 if k else None, 1 if k else 0) for k in range(n)}
+    assert time.time() - began < 120
+
+
+def test_a_megabyte_of_lines(spark):
+    for line in ("> x\n", "x\n", "> x\ny\n", ">" * 30 + "\n", "> > x\n> y\n"):
+        began = time.time()
+        assert link_quotations(spark.createDataFrame([(1, 0, "user", line * (1_000_000 // len(line)))], SCHEMA)).count() == 1
+        assert time.time() - began < 60, line
+
+
+def test_plan_has_no_python(spark):
+    plan = link_quotations(spark.createDataFrame([], SCHEMA))._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

@@ -1,4 +1,5 @@
 import random
+import time
 
 from quillspark.llm.lines import dedup_lines
 
@@ -54,3 +55,19 @@ def test_odd_input(spark):
     assert [r["kept_text"] for r in out if r["row"]["doc_id"] == 2] == [None]
     assert [x[2] for x in sorted(((r["row"]["doc_id"], r["lines"], r["removed_lines"]) for r in dedup_lines(df).collect()), key=str) if x[0] in (5, 6)] == [0, 1]
     assert dedup_lines(empty_documents(spark)).count() == 0
+
+
+def test_a_megabyte_of_lines(spark):
+    for line in ("x\n", "\n", "line of more than sixty characters, so that it is a window of its own\n", "a\nb\n"):
+        began = time.time()
+        t = line * (1_000_000 // len(line))
+        (row,) = dedup_lines(spark.createDataFrame([(1, t)], "doc_id bigint, text string")).collect()
+        wanted = brute([(1, t)], 3, 60)[0]
+        assert (row["lines"], row["removed_lines"], row["kept_text"]) == wanted[1:]
+        assert time.time() - began < 60, line
+
+
+def test_one_line_in_a_third_of_all_rows(spark):
+    docs = [(k, f"{k} own\nshared by very many documents\nand so is this\nand this one\nend {k}" if k % 3 else f"only {k}") for k in range(6000)]
+    out = dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6))
+    assert sorted(((str(r["row"]["doc_id"]), r["lines"], r["removed_lines"], r["kept_text"]) for r in out.collect()), key=str) == brute(docs, 3, 60)
