@@ -91,7 +91,7 @@ class Corpus:
         docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text}`").alias("t"), (F.lit(False) if flag is None else flag).alias("flag"))
         self.row = docs.schema["row"].dataType.simpleString()
         total = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-        self.parts = 1 << max(8, math.ceil(math.log2(max(1, total / part_bytes))))
+        self.parts = 1 << max(6, math.ceil(math.log2(max(1, total / part_bytes))))
         # Parts that chunks send to: all of them, or ranges of them that relays serve.
         self.near = self.parts if self.parts <= most_parts else 1 << (self.parts.bit_length() // 2)
         self.relays = max(1, math.ceil(total / size / self.near))
@@ -156,10 +156,10 @@ def unpack_counts(data: bytes) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as steps from one to the next, of as many bytes as make the message shortest; steps that need more follow as eight bytes each."""
+    """Sorted keys as steps from one to the next, of as many bytes as make the message short; steps that need more follow as eight bytes each."""
     steps = np.diff(keys, prepend=U64(0))
-    need = np.sort(steps)
-    size = {w: len(steps) * w + 8 * (len(steps) - int(np.searchsorted(need, U64((1 << 8 * w) - 1)))) for w in range(1, 8)}
+    least = max(1, min(7, ((int(keys[-1]) // len(keys)).bit_length() + 7) // 8 if len(keys) else 1))  # for a step of mean size
+    size = {w: len(steps) * w + 8 * int(np.count_nonzero(steps >= U64((1 << 8 * w) - 1))) for w in range(least, min(7, least + 1) + 1)}
     width = min(size, key=size.get)
     top = U64((1 << 8 * width) - 1)
     wide = steps >= top

@@ -131,9 +131,11 @@ class Words:
 
     def windows_at(self, starts: np.ndarray, n: int, family: int = 0) -> np.ndarray:
         """Hashes of the windows of n words that start at some words, found from these words alone."""
-        words = starts[:, None] + np.arange(n)
-        own, place = np.unique(words, return_inverse=True)
-        return window_hashes(self.hash_of(own, family)[place].reshape(words.shape), n, family).reshape(len(starts))
+        if not len(starts):
+            return np.zeros(0, U64)
+        inside = cover(starts, n, len(self))
+        own = np.flatnonzero(inside)  # a window's words stay neighbours
+        return window_hashes(self.hash_of(own, family), n, family)[(np.cumsum(inside) - 1)[starts]]
 
     def whole(self, n: int) -> np.ndarray:
         m = max(0, len(self) - n + 1)
