@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.cluster import drop, noting, written
+from quillspark.cluster import drop, noting, roots, written
 from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.lines import dedup_lines
 from quillspark.llm.minhash import near_duplicates
@@ -35,7 +35,7 @@ def _stage(first: bool = False) -> Callable[[Stage], Stage]:
             app = spark.sparkContext.applicationId
             old = [] if first else _OWN.pop(app, [])
             if old:
-                read = "\n".join(docs.inputFiles())
+                read = {p.rpartition("/")[2] for p in roots(docs)}
                 drop(spark, [p for p in old if p.rpartition("/")[2] not in read])
             with noting() as paths:
                 out = f(spark, docs, sf_dir)
@@ -53,7 +53,11 @@ MIN_QUALITY = 0.3
 
 @_stage(first=True)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of at least MIN_QUALITY. The fold that op3 holds out is held out here too."""
+    """Documents of at least MIN_QUALITY. The fold that op3 holds out is held out here too.
+
+    A null or empty text is scored by its statistics, all 0. A null id has no label. Equal rows get equal scores, so ties
+    are kept or rejected together. Without labels all documents stay (their score is 0.5).
+    """
     remainder = F.crc32(F.col("id").cast("string")) % 5
     scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold=remainder, learn=remainder != 0, keep=docs.columns)
     return scored.where(F.col("score") >= MIN_QUALITY).select("row.*")
@@ -61,28 +65,41 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage()
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeated runs of lines; documents that have lost all their lines go."""
+    """Documents without later repeated runs of lines; documents that have lost all their lines go.
+
+    Null, empty and blank texts have no lines to lose and stay. Of equal texts the one with the smallest doc_id keeps its lines (null ids
+    come last, then the order of rows), the others go if all their lines are in runs. n_chars is that of the text left.
+    """
     kept = dedup_lines(docs, keep=docs.columns)
     return _with_text(kept.where((F.col("removed_lines") == 0) | (F.col("removed_lines") < F.col("lines"))), docs, "kept_text")
 
 
 @_stage()
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Null texts and texts without words are in no group and stay. Rows that share the smallest doc_id of a group all stay. A group whose ids are all null keeps its rows.
+    """
     found = near_duplicates(docs, keep=docs.columns)
     return found.where("kept").select("row.*")
 
 
 @_stage()
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with a benchmark item."""
+    """Documents that share no window of words with a benchmark item.
+
+    Null texts and texts without words share none and stay. Equal texts stay or go together. Items that are null, empty or without an id take no part; without items all documents stay.
+    """
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
     return found.where("hit_words = 0").select("row.*")
 
 
 @_stage()
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
+    """Pieces of documents in sequences of 1024 tokens.
+
+    A null or empty text is its end id alone. Equal rows are packed each. Ties go to the sequence opened first.
+    """
     import public_tokenizers
 
     packed = pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")))

@@ -7,9 +7,10 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -21,16 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     It is the one in ``spark.checkpoint.dir``. Where that is unset, a local master gets a
-    temporary folder and any other master gets a folder beside the warehouse tables.
+    temporary folder; any other master has to be told, as no default is sure to be shared.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
-            if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-                base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-            else:
-                base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quillspark-work"
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+            base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
             spark.sparkContext.setCheckpointDir(base)
         _FOLDERS[app] = f"{base.rstrip('/')}/quillspark-{uuid.uuid4().hex[:12]}"
     return _FOLDERS[app]
@@ -56,6 +56,16 @@ def noting() -> Iterator[list[str]]:
         _LATEST.remove(paths)
 
 
+def roots(df: DataFrame) -> list[str]:
+    """The paths that a table is read from, as they were given; not those of each file."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for k in range(leaves.size()):
+        with suppress(Py4JError):  # other leaves than tables of files
+            paths = leaves.apply(k).relation().location().rootPaths()
+            out += [paths.apply(n).toString() for n in range(paths.size())]
+    return out
+
+
 def drop(spark: SparkSession, paths: Iterable[str]) -> None:
     """Delete tables that written() made and nothing reads any more."""
     for each in paths:
