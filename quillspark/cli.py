@@ -80,7 +80,7 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> int:
         over = m.top_overrepresented(m.token_counts(draft, ("doc_id",)), profile.tokens, ("doc_id",), 10, m.STOPWORDS)
         result["style_gap"] = {"token_1gram_l2": _rows(m.token_l2(m.token_counts(draft, ("doc_id",)), profile.tokens, ("doc_id",))), "top_overrepresented": _rows(over.orderBy("rank"))}
     findings = _rows(ordered(found))
-    one = m.document_structure(draft).join(m.document_syllables(draft, ("doc_id",)), "doc_id", "left").na.fill(0, ["syllables"])
+    one = m.document_structure(draft).withColumn("syllables", m.text_syllables(F.col("text")))
     metrics = m.structure_metrics() | m.readability(F.col("words"), F.col("sentences"), F.col("syllables")) | m.paragraph_metrics()
     values = _rows(one.select("words", *(c.alias(k) for k, c in metrics.items()), m.mtld(F.col("text")).alias("mtld")))[0]
     values["tell_rate"] = len(findings) * 1000.0 / values["words"] if values["words"] else 0.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ def token_count(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+(?![\s\S])", "")
+    """Without white space at both ends; the end is looked at first, as a pattern would try every space within."""
+    left = F.regexp_replace(text, rf"^[{SPACE}]+", "")
+    return F.when(F.right(text, F.lit(1)).rlike(f"[{SPACE}]"), F.regexp_replace(left, rf"[{SPACE}]+(?![\s\S])", "")).otherwise(left)
 
 
 def opener(sentence: Column) -> Column:
@@ -29,27 +33,44 @@ def opener(sentence: Column) -> Column:
     return F.regexp_extract(sentence, f"({OPENER})", 1)
 
 
+def _foldings() -> tuple[str, str, list[tuple[str, str]]]:
+    """Lower-case characters whose case folding differs: those that fold to one character and to what, and those that fold to several."""
+    odd = [(c, c.casefold()) for c in map(chr, range(0x80, 0x110000)) if c.lower() == c and c.casefold() != c]
+    one = [(c, to) for c, to in odd if len(to) == 1]
+    return "".join(c for c, _ in one), "".join(to for _, to in one), [(c, to) for c, to in odd if len(to) > 1]
+
+
+_ONE, _TO, _MANY = _foldings()
+
+
 def casefold(text: Column) -> Column:
-    """Lower case with the foldings that matter for words: sharp s, final sigma, dotless forms of ligatures."""
-    folded = F.lower(text)
-    # Characters whose case folding is not their lower case.
-    for char, to in (("ß", "ss"), ("ς", "σ"), ("ŉ", "ʼn"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("µ", "μ")):
+    """Unicode case folding: lower case, then the characters whose folding is another."""
+    folded = F.translate(F.lower(text), _ONE, _TO)
+    for char, to in _MANY:
         folded = F.replace(folded, F.lit(char), F.lit(to))
-    return folded
+    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(F.lower(text))
 
 
-def syllables(word: Column) -> Column:
+def syllables(word: Column, lowered: bool = False) -> Column:
     """Heuristic syllables of a lower-cased word: groups of vowels, less silent endings, one at least."""
-    word = F.lower(word)
+    word = word if lowered else F.lower(word)
     size = F.length(word)
 
-    def has(pattern: str) -> Column:
-        return word.rlike(pattern).cast("int")
+    def ends(*tails: str) -> Column:
+        out = F.endswith(word, F.lit(tails[0]))
+        for t in tails[1:]:
+            out = out | F.endswith(word, F.lit(t))
+        return out
+
+    def consonant(place: int) -> Column:
+        """Whether there is a letter or mark but a vowel so far from the end."""
+        return (size >= place) & ~F.substring(word, -place, 1).isin(*"aeiouy")
 
     groups = F.regexp_count(word, F.lit("[aeiouy]+"))
-    silent_es = has("es(?![\\s\\S])") * (1 - has("[\\s\\S]*[^aeiouy]les(?![\\s\\S])")) * (1 - has("(?:s|z|x|ch|sh)es(?![\\s\\S])"))
-    silent_ed = has("ed(?![\\s\\S])") * (1 - has("[td]ed(?![\\s\\S])"))
-    return F.greatest(F.lit(1), groups - has("e(?![\\s\\S])") + has("[^aeiouy]le(?![\\s\\S])") - F.when(size > 2, silent_es + silent_ed).otherwise(0))
+    silent_es = ends("es") & ~(ends("les") & consonant(4)) & ~ends("ses", "zes", "xes", "ches", "shes")
+    silent_ed = ends("ed") & ~ends("ted", "ded")
+    less = F.when(ends("e"), F.when(ends("le") & consonant(3), 0).otherwise(1)).when(size > 2, (silent_es | silent_ed).cast("int")).otherwise(0)
+    return F.greatest(F.lit(1), groups - less)
 
 
 def strip_frontmatter(text: Column) -> Column:
@@ -65,14 +86,42 @@ def sample_id(path: Column) -> Column:
     return F.concat(F.lit("sample-"), F.left(F.sha2(path, 256), F.lit(12)))
 
 
-def line_of(text: Column, offset: Column) -> Column:
-    """1-based line of a 0-based offset."""
-    return F.regexp_count(F.left(text, offset), F.lit("\n")) + 1
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value evaluated once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(values: Column, block: int = 256) -> Column:
+    """Sums of the values before each one. Blocks of values are summed by themselves, then shifted, so the time is linear."""
+
+    def sums(a: Column, start: Column) -> Column:
+        first = F.struct(start.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(a, first, lambda s, x: F.struct((s["at"] + x).cast("bigint").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def blocks(a: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda k: F.slice(a, k * block + 1, F.lit(block)))
+        starts = lambda c: sums(F.transform(c, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda t, v: t + v)), F.lit(0))
+        return let(cut, lambda c: F.flatten(F.zip_with(c, starts(c), sums)))
+
+    return let(values, lambda a: F.when(F.size(a) <= block, sums(a, F.lit(0))).otherwise(blocks(a)))
+
 
+def line_starts(text: Column) -> Column:
+    """0-based offsets at which lines begin."""
+    return running(F.transform(F.split(text, "\n", -1), lambda x: (F.length(x) + 1).cast("bigint")))
 
-def column_of(text: Column, offset: Column) -> Column:
-    """1-based column of a 0-based offset."""
-    return F.length(F.substring_index(F.left(text, offset), "\n", -1)) + 1
+
+def place_of(starts: Column, offset: Column) -> Column:
+    """struct(line, column), both 1-based, of a 0-based offset, by bisection over line_starts."""
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(starts))))
+
+    def halve(a: Column, _: Column) -> Column:
+        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        below = F.get(starts, middle) <= offset
+        return F.struct(F.when(below, middle).otherwise(a["lo"]).alias("lo"), F.when(below, a["hi"]).otherwise(middle).alias("hi"))
+
+    line = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(starts).alias("hi")), halve, lambda a: a["lo"])
+    return let(line, lambda n: F.struct((n + 1).alias("line"), (offset - F.get(starts, n) + 1).cast("int").alias("column")))
 
 
 def excerpt(text: Column, limit: int = 180) -> Column:
@@ -81,21 +130,29 @@ def excerpt(text: Column, limit: int = 180) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(cut)
 
 
-def matches(text: Column, java: str) -> Column:
-    """All matches of a Java pattern as array of struct(text, start): 0-based offsets in characters, from the lengths of matches and of the gaps between them."""
-    # The pattern as a capturing group 0; a gap before each match.
+#: Stands around matches while a text is cut; no character of Unicode's.
+_MARK = "\ufdd0"
+
+
+def cut(text: Column, java: str) -> Column:
+    """A text cut at the matches of a Java pattern: gap, match, gap, ..., gap. The pattern runs once, unless the text holds the mark itself."""
+    marked = F.split(F.regexp_replace(text, java, f"{_MARK}$0{_MARK}"), _MARK, -1)
     found = F.regexp_extract_all(text, F.lit(java), 0)
-    gaps = F.split(text, java, -1)
-    step = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct(x["m"].alias("text"), (a["at"] + F.length(x["g"])).alias("start")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(F.size(found) > 0, step).otherwise(F.array().cast("array<struct<text:string,start:int>>"))
+    both = F.flatten(F.zip_with(F.split(text, java, -1), F.concat(found, F.array(F.lit(""))), lambda g, m: F.array(g, m)))
+    return F.when(~text.contains(_MARK), marked).otherwise(F.slice(both, F.lit(1), 2 * F.size(found) + 1))
+
+
+def placed(parts: Column) -> Column:
+    """The matches of a cut text as array of struct(text, start): 0-based offsets in characters."""
+    starts = lambda p: running(F.transform(p, lambda x: F.length(x).cast("bigint")))
+    number = lambda p: F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))
+    each = let(parts, lambda p: let(starts(p), lambda at: F.transform(number(p), lambda k: F.struct(F.get(p, k).alias("text"), F.get(at, k).cast("int").alias("start")))))
+    return F.when(F.size(parts) > 1, each).otherwise(F.array().cast("array<struct<text:string,start:int>>"))
+
+
+def matches(text: Column, java: str) -> Column:
+    """All matches of a Java pattern as array of struct(text, start)."""
+    return let(cut(text, java), placed)
 
 
 #: A heading: up to six marks, then a space. A list item's marker.

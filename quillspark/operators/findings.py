@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.regex import WORD, quote
-from quillspark.functions.text import column_of, line_of, matches
+from quillspark.functions.text import cut, let, line_starts, place_of, placed
 from quillspark.operators.rules import BUILTIN, Rule, load_rules
 from quillspark.operators.segments import CANDIDATE, DETECTORS, sentences
 
@@ -20,34 +20,45 @@ def exception_pattern(exceptions: Sequence[str]) -> str:
     return rf"(?iu)(?<!{edge})(?:{'|'.join(quote(x) for x in exceptions)})(?!{edge})"
 
 
-def candidates(rule: Rule, text: Column, spans: Column) -> Column:
+def candidates(rule: Rule, found: Column) -> Column:
     """A rule's matches, without those whose own context holds one of its exceptions."""
-    if rule.named:
-        found = DETECTORS[rule.detector](text, spans)
-    else:
-        found = F.transform(matches(text, rule.java), lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), m["text"].alias("context")))
+    if not rule.named:
+        found = F.transform(found, lambda m: F.struct(m["text"].alias("text"), m["start"].alias("start"), m["text"].alias("context")))
     found = F.coalesce(found, F.array().cast(CANDIDATE))
     if rule.exceptions:
         found = F.filter(found, lambda c: ~c["context"].rlike(exception_pattern(rule.exceptions)))
-    number = F.lit(rule.id), F.lit(rule.severity), F.lit(rule.message)
-    return F.transform(found, lambda c: F.struct(number[0].alias("rule_id"), number[1].alias("severity"), number[2].alias("message"), c["text"].alias("matched_text"), c["start"].alias("char_offset")))
+    return found
 
 
 def audit(docs: DataFrame, rules: Sequence[Rule], *, keys: Sequence[str] = ("doc_id",), text: str = "text", positions: bool = True) -> DataFrame:
     """One row for each finding: the keys, rule_id, severity, message, matched_text, char_offset and, if asked for, line and column.
 
-    All rules run in one projection over the text; a row's findings are exploded where they are found.
+    Each rule's pattern runs once over a text, and lines are found by bisection, all in the text's own row; the findings
+    that are exploded carry numbers of rules, and no text.
     """
-    rows = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    names = [f"_k{n}" for n in range(len(keys))]  # keys may be called as columns here are
+    rows = docs.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    none = F.lit(None)
     if any(r.named and r.detector in ("repeated_openings", "negative_listing", "manufactured_staccato") for r in rules):
+        none = F.col("_spans")
         rows = rows.withColumn("_spans", sentences(F.col("_text")))
-    else:
-        rows = rows.withColumn("_spans", F.lit(None))
-    empty = F.array().cast("array<struct<rule_id:string,severity:string,message:string,matched_text:string,char_offset:int>>")
-    found = F.concat(empty, *(candidates(r, F.col("_text"), F.col("_spans")) for r in rules)) if rules else empty
-    out = rows.select(*keys, "_text", F.explode(found).alias("f"))
-    where = [line_of(F.col("_text"), F.col("f.char_offset")).alias("line"), column_of(F.col("_text"), F.col("f.char_offset")).alias("column")] if positions else []
-    return out.select(*keys, "f.*", *where)
+    # Cut texts are columns of their own, used twice below, so the optimiser leaves each pattern at one evaluation.
+    rows = rows.withColumns({f"_p{n}": cut(F.col("_text"), r.java) for n, r in enumerate(rules) if not r.named})
+    empty = F.array().cast("array<struct<rule:int,matched_text:string,char_offset:int>>")
+
+    def found(n: int, rule: Rule) -> Column:
+        own = DETECTORS[rule.detector](F.col("_text"), none) if rule.named else placed(F.col(f"_p{n}"))
+        return F.transform(candidates(rule, own), lambda c: F.struct(F.lit(n).alias("rule"), c["text"].alias("matched_text"), c["start"].alias("char_offset")))
+
+    rows = rows.select(*names, "_text", F.concat(empty, *(found(n, r) for n, r in enumerate(rules))).alias("_found"))
+    if positions:
+        rows = rows.withColumn("_starts", F.when(F.size("_found") > 0, line_starts(F.col("_text"))))
+        rows = rows.withColumn("_found", F.transform("_found", lambda f: let(place_of(F.col("_starts"), f["char_offset"]), lambda p: f.withField("line", p["line"]).withField("column", p["column"]))))
+    # explode_outer, as Spark guards explode with a filter that evaluates what is exploded a second time.
+    out = rows.select(*names, F.explode_outer("_found").alias("f")).where("f is not null").select(*names, "f.*")
+    each = lambda values: F.get(F.array(*(F.lit(v) for v in values)), F.col("rule")) if rules else F.lit("")
+    about = [each([r.id for r in rules]).alias("rule_id"), each([r.severity for r in rules]).alias("severity"), each([r.message for r in rules]).alias("message")]
+    return out.select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), *about, "matched_text", "char_offset", *(["line", "column"] if positions else []))
 
 
 class Auditor:

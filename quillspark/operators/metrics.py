@@ -79,24 +79,32 @@ def top_tokens(counts: DataFrame, keys: Sequence[str] = (), n: int = 20, exclude
 # Sentences and paragraphs.
 
 
+def measured(paragraphs: Column) -> Column:
+    """Paragraphs as arrays of struct(words, opener) of their sentences: what structure_columns counts."""
+    return F.transform(paragraphs, lambda p: F.transform(p, lambda s: F.struct(token_count(s).alias("words"), casefold(opener(s)).alias("opener"))))
+
+
 def structure_columns(paragraphs: Column) -> dict[str, Column]:
-    """Counters of a document, from its paragraphs as arrays of sentences; all of them add up over documents."""
-    words = F.transform(F.flatten(paragraphs), token_count)
+    """Counters of a document, from measured(); all of them add up over documents. The argument should be a column by itself, as each counter reads it."""
 
     def repeats(p: Column) -> Column:
-        first = F.transform(p, lambda s: casefold(opener(s)))
+        first = F.transform(p, lambda s: s["opener"])
         return F.size(F.filter(F.zip_with(F.slice(first, F.lit(1), F.size(p) - 1), F.slice(first, F.lit(2), F.size(p) - 1), lambda a, b: a == b), lambda same: same))
 
     def total(values: Column, f=lambda x: x) -> Column:
         return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + f(x))
 
+    def words(f) -> Column:
+        return total(F.flatten(paragraphs), lambda s: f(s["words"].cast("long")))
+
+    sentences = total(F.transform(paragraphs, lambda p: F.size(p)))
     return {
-        "sentences": F.size(words).cast("long"),
-        "sentence_words": total(words),
-        "sentence_words_sq": total(words, lambda x: x.cast("long") * x),
+        "sentences": sentences,
+        "sentence_words": words(lambda n: n),
+        "sentence_words_sq": words(lambda n: n * n),
         "paragraphs": F.size(paragraphs).cast("long"),
         "single_paragraphs": F.size(F.filter(paragraphs, lambda p: F.size(p) == 1)).cast("long"),
-        "paragraph_sentences": F.size(words).cast("long"),
+        "paragraph_sentences": sentences,
         "opening_pairs": total(F.transform(paragraphs, lambda p: F.size(p) - 1)),
         "repeated_openings": total(F.transform(paragraphs, repeats)),
     }
@@ -104,7 +112,7 @@ def structure_columns(paragraphs: Column) -> dict[str, Column]:
 
 def document_structure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the counters, and words. No shuffle."""
-    rows = docs.withColumn("_paragraphs", plain_sentences(F.col(text)))
+    rows = docs.withColumn("_paragraphs", measured(plain_sentences(F.col(text))))
     return rows.withColumns(structure_columns(F.col("_paragraphs")) | {"words": token_count(F.col(text)).cast("long")}).drop("_paragraphs")
 
 
@@ -150,8 +158,9 @@ def corpus_syllables(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum(syllables(F.col("token")) * F.col("n")).alias("syllables"))
 
 
-def document_syllables(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    return docs.select(*keys, F.explode(tokens(F.col(text))).alias("token")).groupBy(*keys).agg(F.sum(syllables(F.col("token"))).alias("syllables"))
+def text_syllables(text: Column) -> Column:
+    """Of all tokens of a text, in its own row."""
+    return F.aggregate(tokens(text), F.lit(0).cast("long"), lambda n, w: n + syllables(w, lowered=True))
 
 
 def joined_structure(docs: DataFrame, system: str, order: str, text: str = "text", block: int = 1 << 16) -> DataFrame:
@@ -183,11 +192,10 @@ def joined_structure(docs: DataFrame, system: str, order: str, text: str = "text
     fragment = F.filter(F.transform(line, strip), lambda s: opener(s) != "")
     rest = F.when(F.col("_many"), F.expr("substring(_clean, length(substring_index(_clean, '\\n', 1)) + 2)")).otherwise(F.lit(""))
     own = F.when(continues, F.concat(F.when(heads, F.array().cast("array<string>")).otherwise(fragment), F.flatten(plain_sentences(rest)))).otherwise(F.flatten(plain_sentences(F.col("_clean"))))
-    joined = structure_columns(F.array(own))
-    alone = structure_columns(F.col("_paragraphs"))
-    rows = rows.withColumn("_paragraphs", plain_sentences(F.col(text)))
+    rows = rows.withColumn("_own", measured(F.array(own))).withColumn("_paragraphs", measured(plain_sentences(F.col(text))))
+    joined, alone = structure_columns(F.col("_own")), structure_columns(F.col("_paragraphs"))
     counters = {c: joined[c] if c in ("sentences", "sentence_words", "sentence_words_sq") else alone[c] for c in alone} | {"words": token_count(F.col(text)).cast("long")}
-    return rows.withColumns(counters).drop("_clean", "_many", "_last", "_block", "_inner", "_before", "_system_first", "_paragraphs")
+    return rows.withColumns(counters).drop("_clean", "_many", "_last", "_block", "_inner", "_before", "_system_first", "_paragraphs", "_own")
 
 
 # Lexical diversity: an ordered fold, so Arrow batches of token arrays.
@@ -198,29 +206,31 @@ class Factors:
 
     def __init__(self, limit: float = TTR_LIMIT):
         self.limit, self.sum, self.types, self.n, self.total = limit, 0.0, set(), 0, 0
-        self.held: str | None = None
-
-    def _close(self, token: str, last: bool) -> None:
-        self.types.add(token)
-        self.n += 1
-        ratio = len(self.types) / self.n
-        if last:
-            self.sum += (1.0 - ratio) / (1.0 - self.limit)
-        elif ratio < self.limit:
-            self.sum += 1.0
-            self.types, self.n = set(), 0
-
-    def feed(self, words: Sequence[str]) -> None:
+        self.held: int | None = None
+
+    def feed(self, words: Sequence[int]) -> None:
         """A token is counted when the next one is known, since the last counts differently."""
-        for word in words:
-            if self.held is not None:
-                self._close(self.held, False)
-            self.held = word
+        if not len(words):
+            return
+        types, n, limit, whole = self.types, self.n, self.limit, 0
+        if self.held is not None:
+            words = [self.held, *words]
+            self.total -= 1
+        for word in words[:-1]:
+            types.add(word)
+            n += 1
+            if len(types) / n < limit:
+                whole += 1
+                types, n = set(), 0
+        self.types, self.n, self.held = types, n, words[-1]
+        self.sum += whole
         self.total += len(words)
 
     def result(self) -> float:
         if self.held is not None:
-            self._close(self.held, True)
+            self.types.add(self.held)
+            self.n += 1
+            self.sum += (1.0 - len(self.types) / self.n) / (1.0 - self.limit)
             self.held = None
         return self.sum
 
@@ -229,11 +239,17 @@ def _mtld(total: int, forward: float, backward: float) -> float | None:
     return (total / forward + total / backward) / 2.0 if total >= 10 and forward > 0 and backward > 0 else None
 
 
+def token_numbers(text: Column) -> Column:
+    """Tokens as 64-bit hashes: types of a factor, a few hundred, are told apart by them, and Python gets integers in place of strings."""
+    return F.transform(tokens(text), lambda w: F.xxhash64(w))
+
+
 @F.pandas_udf(T.DoubleType())
 def _mtld_of(words: pd.Series) -> pd.Series:
     def one(x) -> float | None:
         if x is None or len(x) < 10:
             return None
+        x = x.tolist()
         way, back = Factors(), Factors()
         way.feed(x)
         back.feed(x[::-1])
@@ -245,7 +261,7 @@ def _mtld_of(words: pd.Series) -> pd.Series:
 def mtld(text: Column) -> Column:
     """Of one document; null below ten tokens."""
     ship(SparkSession.getActiveSession())
-    return _mtld_of(tokens(text))
+    return _mtld_of(token_numbers(text))
 
 
 def corpus_mtld(docs: DataFrame, system: str, order: str, text: str = "text") -> DataFrame:
@@ -274,7 +290,7 @@ def corpus_mtld(docs: DataFrame, system: str, order: str, text: str = "text") ->
 
         return run
 
-    rows = docs.select(F.col(system).cast("string").alias("s"), F.col(order).alias("o"), tokens(F.col(text)).alias("w")).where("size(w) > 0").repartition("s")
+    rows = docs.select(F.col(system).cast("string").alias("s"), F.col(order).alias("o"), token_numbers(F.col(text)).alias("w")).repartition("s")
     way = rows.sortWithinPartitions("s", "o").select("s", "w").mapInArrow(fold(False), "system string, total long, factors double")
     back = rows.sortWithinPartitions("s", F.desc("o")).select("s", "w").mapInArrow(fold(True), "system string, total long, factors double")
     both = way.join(back.select("system", F.col("factors").alias("back")), "system")

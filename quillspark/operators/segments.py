@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions.regex import BLANK, DIGIT, SPACE
-from quillspark.functions.text import HEADING, MARKER, casefold, matches, opener, strip, token_count
+from quillspark.functions.text import HEADING, MARKER, casefold, cut, excerpt, let, line_starts, matches, opener, place_of, running, strip, token_count
 
 #: Between pieces: after a line's end, and after a run of terminators that is no decimal point.
 PIECES = rf"(?<=\n)|(?<=[.!?])(?![.!?])(?<!{DIGIT}\.(?={DIGIT}))"
@@ -19,38 +21,36 @@ def sentences(text: Column) -> Column:
 
     A blank line or a heading breaks the paragraph and has no sentence; a list marker belongs to none;
     a line's end ends a sentence; sentences without a word that begins with a letter are left out.
+    Lines, then the pieces of each, get their places from running sums, so the time is linear in the text.
     """
-    text = F.coalesce(text, F.lit(""))
-    raw = F.split(text, PIECES, -1)
-    # Beside each piece the one before, so no lambda looks into the array again.
-    fresh = F.zip_with(raw, F.slice(F.concat(F.array(F.lit("\n")), raw), F.lit(1), F.size(raw)), lambda s, before: F.struct(s.alias("s"), F.endswith(before, F.lit("\n")).alias("fresh")))
 
     def look(x: Column) -> Column:
-        heading = x["fresh"] & x["s"].rlike(HEADING)
-        body = F.when(x["fresh"] & ~heading, F.regexp_replace(x["s"], MARKER, "")).otherwise(x["s"])
-        return F.struct(F.length(x["s"]).alias("n"), x["fresh"].alias("fresh"), F.endswith(x["s"], F.lit("\n")).alias("ends"), heading.alias("heading"), (x["fresh"] & x["s"].rlike(rf"^[{SPACE}]*(?![\s\S])")).alias("blank"), body.alias("body"))
+        breaks = x.rlike(rf"^[{SPACE}]*(?![\s\S])") | x.rlike(HEADING)
+        return F.struct(x.alias("s"), breaks.alias("breaks"), (F.length(x) + 1 + F.when(breaks, F.lit(1 << 32)).otherwise(F.lit(0))).cast("bigint").alias("size"))
+
+    def piece(x: Column) -> Column:
+        inner = strip(x)
+        return F.struct(F.length(x).cast("bigint").alias("n"), (F.length(x) - F.length(F.regexp_replace(x, rf"^[{SPACE}]+", ""))).alias("lead"), inner.alias("text"), opener(inner).alias("opener"))
+
+    def spans(line: Column, at: Column) -> Column:
+        """at: characters before the line, and breaks before it, in the upper half."""
+        start, para = F.pmod(at, F.lit(1 << 32)), F.shiftright(at, 32)
 
-    def cut(x: Column) -> Column:
-        inner = strip(x["body"])
-        lead = x["n"] - F.length(F.regexp_replace(x["body"], rf"^[{SPACE}]+", ""))
-        return F.struct(x["n"].alias("n"), x["fresh"].alias("fresh"), x["ends"].alias("ends"), x["heading"].alias("heading"), (x["heading"] | x["blank"]).alias("breaks"), lead.alias("lead"), inner.alias("text"), opener(inner).alias("opener"))
+        def span(p: Column, off: Column) -> Column:
+            begin = (start + off + p["lead"]).cast("int")
+            return F.struct(
+                para.cast("int").alias("para"), begin.alias("start"), (begin + F.length(p["text"])).alias("end"), start.cast("int").alias("line_start"), p["text"].alias("text"), p["opener"].alias("opener"),
+                (begin + F.instr(p["text"], p["opener"]) - 1).alias("opener_at"), token_count(p["text"]).alias("words"),
+            )
 
-    pieces = F.transform(F.transform(fresh, look), cut)
+        marker = F.length(line) - F.length(F.regexp_replace(line, MARKER, ""))
+        return let(marker, lambda m: let(F.transform(F.split(F.substring(line, m + 1, F.length(line)), PIECES, -1), piece), lambda ps: F.filter(F.zip_with(ps, running(F.transform(ps, lambda p: p["n"])), lambda p, off: F.when(p["opener"] != "", span(p, off + m))), lambda x: x.isNotNull())))
 
-    def step(a: Column, x: Column) -> Column:
-        head = F.when(x["fresh"], x["heading"]).otherwise(a["head"])
-        para = a["para"] + F.when(x["breaks"], 1).otherwise(0)
-        line = F.when(x["fresh"], a["at"]).otherwise(a["line"])
-        start = a["at"] + x["lead"]
-        span = F.struct(
-            para.alias("para"), start.alias("start"), (start + F.length(x["text"])).alias("end"), line.alias("line_start"), x["text"].alias("text"), x["opener"].alias("opener"),
-            (start + F.instr(x["text"], x["opener"]) - 1).alias("opener_at"), token_count(x["text"]).alias("words"),
-        )
-        out = F.when(~head & (x["opener"] != ""), F.concat(a["out"], F.array(span))).otherwise(a["out"])
-        return F.struct((a["at"] + x["n"]).alias("at"), para.alias("para"), head.alias("head"), line.alias("line"), out.alias("out"))
+    def whole(lines: Column) -> Column:
+        each = F.zip_with(lines, running(F.transform(lines, lambda x: x["size"])), lambda x, at: F.when(~x["breaks"], spans(x["s"], at)).otherwise(F.array().cast(f"array<{SPAN}>")))
+        return F.flatten(each)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("para"), F.lit(False).alias("head"), F.lit(0).alias("line"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.aggregate(pieces, start, step, lambda a: a["out"])
+    return let(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), look), whole)
 
 
 def plain_sentences(text: Column) -> Column:
@@ -80,19 +80,37 @@ def repeated_openings(text: Column, spans: Column) -> Column:
     return _pairs(spans, lambda a, b: F.when(casefold(a["opener"]) == casefold(b["opener"]), F.struct(b["opener"].alias("text"), b["opener_at"].alias("start"), _between(text, a["start"], b["end"]).alias("context"))))
 
 
+def stretches(marks: Column, joined: Callable[[Column, Column], Column], alone: Callable[[Column], Column]) -> Column:
+    """Maximal runs of neighbours that joined(one, next) holds for, as array of struct(a, b): numbers of the first and the last. Runs of one are those that alone() holds for."""
+
+    def cut(f: Column) -> Column:
+        link = lambda i: F.coalesce(joined(F.get(f, i), F.get(f, i + 1)), F.lit(False))
+        numbers = F.when(F.size(f) > 0, F.sequence(F.lit(0), F.size(f) - 1)).otherwise(F.array().cast("array<int>"))
+        own = F.filter(numbers, lambda i: link(i) | link(i - 1) | alone(F.get(f, i)))
+        return F.zip_with(F.filter(own, lambda i: ~link(i - 1)), F.filter(own, lambda i: ~link(i)), lambda i, j: F.struct(i.alias("a"), j.alias("b")))
+
+    return let(marks, cut)
+
+
 def runs(spans: Column, flag) -> Column:
     """Maximal runs of neighbouring sentences of a paragraph for which flag(span) holds: first, last, count."""
-    marked = F.transform(spans, lambda s: F.struct(s.alias("s"), flag(s).alias("on")))
+    on = F.transform(spans, lambda s: F.struct(flag(s).alias("on"), s["para"].alias("para")))
+    found = stretches(on, lambda x, y: x["on"] & y["on"] & (x["para"] == y["para"]), lambda x: x["on"])
+    return F.transform(found, lambda r: F.struct(F.get(spans, r["a"]).alias("first"), F.get(spans, r["b"]).alias("last"), (r["b"] - r["a"] + 1).alias("count")))
+
 
-    def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        joins = (F.size(a) > 0) & F.coalesce(last["on"] & (F.get(a, F.size(a) - 1)["last"]["para"] == x["s"]["para"]), F.lit(False))
-        one = F.struct(x["s"].alias("first"), x["s"].alias("last"), F.lit(1).alias("count"), x["on"].alias("on"))
-        more = F.struct(last["first"].alias("first"), x["s"].alias("last"), (last["count"] + 1).alias("count"), F.lit(True).alias("on"))
-        return F.when(x["on"] & joins, F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(a, F.array(one)))
+def opening_runs(text: Column, spans: Column) -> Column:
+    """Runs of two or more neighbouring sentences of a paragraph with one opener: line, column, opener, sentence_count, excerpt. One row for each reads text and spans, so they should be columns."""
+    marks = F.transform(spans, lambda s: F.struct(casefold(s["opener"]).alias("opener"), s["para"].alias("para")))
+    found = stretches(marks, lambda x, y: (x["para"] == y["para"]) & (x["opener"] == y["opener"]), lambda x: F.lit(False))
 
-    none = F.array().cast(f"array<struct<first:{SPAN},last:{SPAN},count:int,on:boolean>>")
-    return F.filter(F.aggregate(marked, none, step), lambda r: r["on"])
+    def row(r: Column, starts: Column) -> Column:
+        first, last = F.get(spans, r["a"]), F.get(spans, r["b"])
+        shown = excerpt(_between(text, first["start"], last["end"]))
+        return let(place_of(starts, first["opener_at"]), lambda p: F.struct(p["line"].alias("line"), p["column"].alias("column"), first["opener"].alias("opener"), (r["b"] - r["a"] + 1).alias("sentence_count"), shown.alias("excerpt")))
+
+    every = let(found, lambda f: F.when(F.size(f) > 0, let(line_starts(text), lambda starts: F.transform(f, lambda r: row(r, starts)))))
+    return F.coalesce(every, F.array().cast("array<struct<line:int,column:int,opener:string,sentence_count:int,excerpt:string>>"))
 
 
 def negative_listing(text: Column, spans: Column) -> Column:
@@ -133,10 +151,11 @@ def connector_openers(text: Column, spans: Column) -> Column:
 def boldface_density(text: Column, spans: Column) -> Column:
     """A paragraph (between blank lines) with three bold spans or more, or more than a tenth of its words bold; spans alone on a line do not count."""
     gap = r"\n[ \t]*\n(?:[ \t]*\n)*"
-    gaps = F.regexp_extract_all(text, F.lit(gap), 0)
-    parts = F.arrays_zip(F.split(text, gap, -1).alias("p"), F.concat(F.transform(gaps, F.length), F.array(F.lit(0))).alias("n"))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<p:string,at:int>>").alias("out"))
-    placed = F.aggregate(parts, none, lambda a, x: F.struct((a["at"] + F.length(x["p"]) + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(x["p"].alias("p"), a["at"].alias("at")))).alias("out")), lambda a: a["out"])
+    def paragraphs(parts: Column) -> Column:
+        at = running(F.transform(parts, lambda x: F.length(x).cast("bigint")))
+        return let(at, lambda at: F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2)), lambda k: F.struct(F.get(parts, k).alias("p"), F.get(at, k).cast("int").alias("at"))))
+
+    placed = let(cut(text, gap), paragraphs)
     placed = F.filter(placed, lambda x: x["p"].contains("**"))
 
     def alone(p: Column, m: Column) -> Column:

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.cluster import written
-from quillspark.functions.text import casefold, column_of, line_of, slug, token_count
+from quillspark.functions.text import slug, token_count
 from quillspark.operators import assess
 from quillspark.operators import metrics as m
 from quillspark.operators.findings import audit
 from quillspark.operators.rules import Rule, fingerprint
-from quillspark.operators.segments import sentences
+from quillspark.operators.segments import opening_runs, sentences
 from quillspark.sources.readers import InputError, clean_texts, read_json, read_records, read_texts, write_json, write_records
 
 METRICS_VERSION = 1
@@ -65,23 +65,11 @@ def make_profile(name: str, texts: DataFrame, rules: Sequence[Rule], order: str
 # Drafts against a profile.
 
 
-def opening_runs(text, spans):
-    """Runs of two or more neighbouring sentences with one opener: line, column, opener, count."""
-    def same(i, j):
-        a, b = F.get(spans, i), F.get(spans, j)
-        return F.coalesce((a["para"] == b["para"]) & (casefold(a["opener"]) == casefold(b["opener"])), F.lit(False))
-
-    at = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (F.size(spans) > i + 1) & same(i, i + 1))
-    starts = F.filter(at, lambda i: (i == 0) | ~same(F.greatest(i - 1, F.lit(0)), i))
-    place = F.transform(starts, lambda i: F.struct(line_of(text, F.get(spans, i)["opener_at"]).alias("line"), column_of(text, F.get(spans, i)["opener_at"]).alias("column"), F.get(spans, i)["opener"].alias("opener")))
-    return F.when(F.size(spans) > 0, place).otherwise(F.array().cast("array<struct<line:int,column:int,opener:string>>"))
-
-
 def style_gap(drafts: DataFrame, profile: Profile, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys, words, draft_* and profile_* metrics, delta_*, opening_runs: a row for each draft."""
     rows = m.document_structure(drafts.select(*keys, text), text).withColumn("draft_mtld", m.mtld(F.col(text)))
     rows = rows.withColumn("_spans", sentences(F.col(text))).withColumn("opening_runs", opening_runs(F.col(text), F.col("_spans"))).drop("_spans")
-    rows = rows.join(m.document_syllables(drafts, keys, text), list(keys), "left").na.fill(0, ["syllables"])
+    rows = rows.withColumn("syllables", m.text_syllables(F.col(text)))
     found = m.structure_metrics() | m.readability(F.col("words"), F.col("sentences"), F.col("syllables")) | m.paragraph_metrics()
     rows = rows.withColumns({f"draft_{k}": c for k, c in found.items()})
     known = {k: profile.statistics.get(k) for k in [*assess.GAP_METRICS, *assess.PARAGRAPH_METRICS]}

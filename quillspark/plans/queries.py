@@ -119,7 +119,7 @@ def paragraph_stats(spark, sf_dir):
 
 def readability_per_record(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    rows = m.document_structure(docs).select("doc_id", "words", "sentences").join(m.document_syllables(docs, ("doc_id",)), "doc_id", "left")
+    rows = m.document_structure(docs).select("doc_id", "words", "sentences", m.text_syllables(F.col("text")).alias("syllables"))
     return rows.select("doc_id", *(_r(c).alias(k) for k, c in m.readability(F.col("words"), F.col("sentences"), F.col("syllables")).items()))
 
 

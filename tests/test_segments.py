@@ -101,7 +101,7 @@ def test_joined_documents(spark):
 
 def test_readability_and_mtld(spark):
     df = spark.createDataFrame([(1, "The quick brown fox."), (2, "# Heading only"), (3, "")], "doc_id int, text string")
-    rows = m.document_structure(df).join(m.document_syllables(df, ["doc_id"]), "doc_id", "left")
+    rows = m.document_structure(df).withColumn("syllables", m.text_syllables(F.col("text")))
     got = {r["doc_id"]: r for r in rows.select("doc_id", *(c.alias(k) for k, c in m.readability(F.col("words"), F.col("sentences"), F.col("syllables")).items())).collect()}
     assert got[1]["flesch_reading_ease"] == pytest.approx(118.175) and got[1]["flesch_kincaid_grade"] == pytest.approx(-2.23)
     assert got[2]["flesch_reading_ease"] is None and got[3]["flesch_kincaid_grade"] is None

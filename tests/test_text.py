@@ -50,8 +50,7 @@ def test_frontmatter_slug_and_ids(spark):
 def test_positions_and_excerpt(spark):
     text = "one\ntwo \U0001f600 three"
     for at in (0, 3, 4, 9):
-        assert column(spark, [text], lambda c, at=at: t.line_of(c, F.lit(at))) == [text.count("\n", 0, at) + 1]
-        assert column(spark, [text], lambda c, at=at: t.column_of(c, F.lit(at))) == [at - text.rfind("\n", 0, at)]
+        assert column(spark, [text], lambda c, at=at: t.place_of(t.line_starts(c), F.lit(at))) == [(text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at))]
     assert column(spark, ["a  b\n" * 100], t.excerpt)[0] == ("a b " * 100)[:179].rstrip() + "…"
     assert column(spark, [" short\ntext "], t.excerpt) == ["short text"]
 
