@@ -180,14 +180,9 @@ def _compare(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def _corpus(spark: SparkSession, a: argparse.Namespace) -> int:
     manifest = readers.read_manifest(spark, a.manifest)
-    base = a.root.rstrip("/")
-    paths = [f"{base}/{r['path']}" for r in manifest.select("path").toLocalIterator()]
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    joined = manifest.join(files, F.expr("endswith(file, concat('/', path))"), "left")
-    lost = joined.where("file is null").select("path").first()
-    if lost:
-        raise readers.InputError(f"cannot read sample {lost['path']}")
-    made = corpus.split_holdout(corpus.samples(joined.drop("file")), forced="holdout_only", fraction=a.eval_fraction, seed=a.seed).persist()
+    paths = [r["path"] for r in manifest.select("path").toLocalIterator()]
+    joined = manifest.join(readers.read_samples(spark, paths, a.root), "path")
+    made = corpus.split_holdout(corpus.samples(joined), forced="holdout_only", fraction=a.eval_fraction, seed=a.seed).persist()
     try:
         readers.write_corpus(made, a.out_dir)
         for r in readers.corpus_summary(made).collect():  # a row for each use case

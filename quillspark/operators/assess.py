@@ -95,13 +95,23 @@ def rule_baseline(drafts: DataFrame, draft_counts: DataFrame, profile_counts: Da
 ISSUE = ("issue_id", "kind", "section", "priority", "requested", "by_profile", "line", "column")
 
 
+def finding_places(findings: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """keys, rule_id, n, severity, at: how often each rule was found, and the first place. Repeated openings are scored by their rate."""
+    return findings.where("rule_id <> 'repeated_openings'").groupBy(*keys, "rule_id").agg(F.count("*").alias("n"), F.min_by("severity", F.struct("line", "column", "matched_text")).alias("severity"), F.min(F.struct("line", "column")).alias("at"))
+
+
 def rule_issues(findings: DataFrame, baseline: DataFrame | None, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Rules whose findings exceed their allowance (all of them, without a baseline)."""
-    found = findings.where("rule_id <> 'repeated_openings'").groupBy(*keys, "rule_id").agg(F.count("*").alias("n"), F.min_by("severity", F.struct("line", "column", "matched_text")).alias("severity"), F.min(F.struct("line", "column")).alias("at"))
+    found = finding_places(findings, keys)
     if baseline is not None:
         found = found.join(baseline.select(*keys, "rule_id", "excess"), [*keys, "rule_id"], "left").withColumn("excess", F.when(F.col("excess").isNull(), F.col("n")).otherwise(F.col("excess"))).where("excess > 0")
     else:
         found = found.withColumn("excess", F.col("n"))
+    return excess_issues(found, keys)
+
+
+def excess_issues(found: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """found: keys, rule_id, severity, at, excess (above 0)."""
     points = F.when(F.col("severity") == "warn", DEDUCTION["warn"]).otherwise(DEDUCTION["info"])
     return found.select(
         *keys, F.col("rule_id").alias("issue_id"), F.when(F.col("severity") == "info", "review_candidate").otherwise("improvement").alias("kind"),

@@ -64,22 +64,37 @@ def generation_prompt(system: Column, task: Column) -> Column:
     return F.concat(system, F.lit("\n\n"), task)
 
 
+def _drawn(rows: DataFrame, trials: int, id: str, seed: int, share: float) -> DataFrame:
+    """Rows of each trial with their place in its order, _order; those first in it, about ``share`` of all."""
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    drawn = drawn.withColumn("_order", F.md5(F.concat_ws(":", F.col(id).cast("string"), F.col("trial"), F.lit(seed))))
+    return drawn.where(F.col("_order") < f"{int(share * 16**8):08x}") if share < 1 else drawn
+
+
 def subsamples(rows: DataFrame, sizes: Sequence[int], trials: int, id: str = "id", seed: int = 7) -> DataFrame:
-    """size, trial and the rows of each trial's draw without replacement: the first of each trial's own order."""
-    trial = F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))
-    drawn = rows.select("*", trial.alias("trial"))
-    place = F.row_number().over(Window.partitionBy("trial").orderBy(F.md5(F.concat_ws(":", F.col(id).cast("string"), F.col("trial"), F.lit(seed))), id))
-    drawn = drawn.withColumn("_place", place).where(F.col("_place") <= max(sizes))
-    return drawn.withColumn("size", F.explode(F.filter(F.array(*(F.lit(s) for s in sizes)), lambda s: s >= F.col("_place")))).drop("_place")
+    """size, trial and the rows of each trial's draw without replacement: the first of each trial's own order.
+
+    Rows whose hash shows that they are not among the first are dropped before they are ranked, so a trial never ranks the whole table.
+    """
+    n, most = rows.count(), max(sizes)
+    drawn = _drawn(rows, trials, id, seed, (2 * most + 64) / max(n, 1))
+    if n > 2 * most + 64 and drawn.groupBy("trial").count().where(F.col("count") >= most).count() < trials:
+        drawn = _drawn(rows, trials, id, seed, 1)  # too few by chance: rank all
+    place = F.row_number().over(Window.partitionBy("trial").orderBy("_order", id))
+    drawn = drawn.withColumn("_place", place).where(F.col("_place") <= most)
+    return drawn.withColumn("size", F.explode(F.filter(F.array(*(F.lit(s) for s in sizes)), lambda s: s >= F.col("_place")))).drop("_place", "_order")
 
 
 def budget_subsamples(rows: DataFrame, budgets: Sequence[int], trials: int, words: str = "words", id: str = "id", seed: int = 7) -> DataFrame:
     """size (the budget), trial and rows: each trial's own order is followed until the budget of words is reached."""
-    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    order = Window.partitionBy("trial").orderBy(F.md5(F.concat_ws(":", F.col(id).cast("string"), F.col("trial"), F.lit(seed))), id)
+    total, most = rows.agg(F.sum(words)).first()[0] or 0, max(budgets)
+    drawn = _drawn(rows, trials, id, seed, 2 * most / max(total, 1))
+    if total > 2 * most and drawn.groupBy("trial").agg(F.sum(words).alias("w")).where(F.col("w") >= most).count() < trials:
+        drawn = _drawn(rows, trials, id, seed, 1)
+    order = Window.partitionBy("trial").orderBy("_order", id)
     before = F.coalesce(F.sum(words).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = drawn.withColumn("_before", before).where(F.col("_before") < max(budgets))
-    return drawn.withColumn("size", F.explode(F.filter(F.array(*(F.lit(b) for b in budgets)), lambda b: b > F.col("_before")))).drop("_before")
+    drawn = drawn.withColumn("_before", before).where(F.col("_before") < most)
+    return drawn.withColumn("size", F.explode(F.filter(F.array(*(F.lit(b) for b in budgets)), lambda b: b > F.col("_before")))).drop("_before", "_order")
 
 
 def length_bands(rows: DataFrame, bands: int = 3, words: str = "words") -> DataFrame:
@@ -89,6 +104,11 @@ def length_bands(rows: DataFrame, bands: int = 3, words: str = "words") -> DataF
 
 
 def score_noise(scores: DataFrame, limit: float = 2.0) -> DataFrame:
-    """size, mean_sd, median_sd, worst_sd, coverage: spread of drafts' scores over trials. scores: size, trial, draft, total."""
-    by_draft = scores.where("total is not null").groupBy("size", "draft").agg(F.stddev_samp("total").alias("sd"), (F.max("total") - F.min("total")).alias("range"), (F.percentile("total", 0.9) - F.percentile("total", 0.1)).alias("trimmed_range"))
+    """size, mean_sd, median_sd, worst_sd, mean_range, mean_trimmed_range, coverage: spread of drafts' scores over trials. scores: size, trial, draft, total.
+
+    The trimmed range leaves out a twentieth of a draft's scores on either side, by their places: from floor(0.05 n) to floor(0.95 n) - 1, from 0.
+    """
+    by_draft = scores.where("total is not null").groupBy("size", "draft").agg(F.stddev_samp("total").alias("sd"), (F.max("total") - F.min("total")).alias("range"), F.sort_array(F.collect_list("total")).alias("_all"))  # a score for each trial
+    place = lambda share: F.floor(F.lit(share) * F.size("_all")).cast("int")
+    by_draft = by_draft.withColumn("trimmed_range", F.get("_all", place(0.95) - 1) - F.get("_all", place(0.05)))
     return by_draft.groupBy("size").agg(F.avg("sd").alias("mean_sd"), F.median("sd").alias("median_sd"), F.max("sd").alias("worst_sd"), F.avg("range").alias("mean_range"), F.avg("trimmed_range").alias("mean_trimmed_range"), (F.count_if(F.col("sd") <= limit) / F.count("*")).alias("coverage"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.cluster import ship
-from quillspark.functions.text import HEADING, casefold, opener, strip, syllables, token_count, tokens
+from quillspark.functions.text import HEADING, casefold, let, opener, strip, syllables, token_count, tokens
 from quillspark.operators.segments import PIECES, plain_sentences
 
 # Words left out of content comparisons.
@@ -84,6 +84,18 @@ def measured(paragraphs: Column) -> Column:
     return F.transform(paragraphs, lambda p: F.transform(p, lambda s: F.struct(token_count(s).alias("words"), casefold(opener(s)).alias("opener"))))
 
 
+def measured_spans(spans: Column) -> Column:
+    """The same from sentences with positions, for who needs both. The argument should be a column by itself."""
+
+    def paragraphs(marks: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(marks) - 1), lambda i: ~F.coalesce(F.get(marks, i)["para"] == F.get(marks, i - 1)["para"], F.lit(False)))
+        cut = let(first, lambda a: F.zip_with(a, F.concat(F.slice(a, F.lit(2), F.size(a)), F.array(F.size(marks))), lambda i, j: F.slice(marks, i + 1, j - i)))
+        inner = F.transform(cut, lambda p: F.transform(p, lambda s: F.struct(s["words"].alias("words"), s["opener"].alias("opener"))))
+        return F.when(F.size(marks) > 0, inner).otherwise(F.array().cast("array<array<struct<words:int,opener:string>>>"))
+
+    return let(F.transform(spans, lambda s: F.struct(s["para"].alias("para"), s["words"].alias("words"), casefold(s["opener"]).alias("opener"))), paragraphs)
+
+
 def structure_columns(paragraphs: Column) -> dict[str, Column]:
     """Counters of a document, from measured(); all of them add up over documents. The argument should be a column by itself, as each counter reads it."""
 

@@ -128,6 +128,27 @@ v as (select doc_id, para, min(start) start, max(start + len(sentence)) stop, ar
 NEGATIVE = detected("replace(replace(text, '. Th', '. Not th'), '. Re', '. Not re')")
 STACCATO = detected("replace(text, ' of ', '. Of ')")
 
+def diversity(tokens: str, name: str = "mtld") -> str:
+    """CTEs up to ``name``: k, mtld, of token streams given as k, i, token. A fold over lists: a token is a new type of its factor if its last place lies before the factor's start."""
+
+    def way(x: str, order: str) -> str:
+        return f"""{x}_p as (select k, j, coalesce(lag(j) over (partition by k, token order by j), 0) p from (select k, token, row_number() over (partition by k order by i {order}) j from {name}_t)),
+{x}_l as (select k, count(*) n, list({{'j': j::bigint, 'p': p::bigint, 's': 1::bigint, 't': 0::bigint, 'f': 0::bigint}} order by j) l from {x}_p group by k),
+{x}_r as (select k, n, l[-1].p p, list_reduce(l[1:n - 1], lambda x, y: case when (x.t + (y.p < x.s)::bigint)::double / (y.j - x.s + 1) < 0.72::double
+    then {{'j': y.j, 'p': y.p, 's': y.j + 1, 't': 0::bigint, 'f': x.f + 1}} else {{'j': y.j, 'p': y.p, 's': x.s, 't': x.t + (y.p < x.s)::bigint, 'f': x.f}} end,
+    {{'j': 0::bigint, 'p': 0::bigint, 's': 1::bigint, 't': 0::bigint, 'f': 0::bigint}}) r from {x}_l where n >= 10),
+{x} as (select k, n, r.f + (1.0::double - (r.t + (p < r.s)::bigint)::double / (n - r.s + 1)) / (1.0::double - 0.72::double) f from {x}_r)"""
+
+    a, b = f"{name}_a", f"{name}_b"
+    return f"""{name}_t as ({tokens}), {way(a, '')}, {way(b, 'desc')},
+{name} as (select k, case when {a}.f > 0 and {b}.f > 0 then ({a}.n / {a}.f + {a}.n / {b}.f) / 2 end mtld from {a} join {b} using (k))"""
+
+
+def stream(key: str, source: str = "documents") -> str:
+    """Tokens of a key's documents in the order of doc_id."""
+    return f"select k, doc_id * 100000000 + i i, w[i] token from (select *, unnest(range(1, len(w) + 1)) i from (select {key} k, doc_id, {words('text')} w from {source}))"
+
+
 PROFILE = f"""{doc_structure()}, tk as (select doc_id, token, count(*) n from (select doc_id, unnest({words('text')}) token from documents) group by all),
 y as (select doc_id, sum(({SYLLABLES}) * n) y from tk group by doc_id),
 q as (select c.*, coalesce(y, 0) y from c left join y using (doc_id)),
@@ -278,17 +299,29 @@ ORACLES: dict[str, str] = {
         b as (select doc_id, text t, regexp_extract_all(text, '\*\*[^*\n]+\*\*') g, regexp_split_to_array(text, '\*\*[^*\n]+\*\*') h from r),
         j as (select doc_id, t, g[1] matched_text, len(h[1])::int char_offset from b where len(g) >= 3 or (len(g) > 0 and list_sum([len({words('x')}) for x in g]) > len({words('t')}) * 0.1))
         select doc_id, matched_text, char_offset, {LINE} as line, {COLUMN} as column from j""",
-    "fragmented_header": "select doc_id, 'A short start' matched_text, 9 char_offset, 3 as line, 1 as column from documents where regexp_matches(text, '^[^#\\s]')",
+    "fragmented_header": rf"""with r as (select doc_id, '# Title' || chr(10) || chr(10) || (['A short start' || chr(10) || chr(10), '  Two words' || chr(10) || ' ' || chr(10) || chr(10), 'This line has far more than six words' || chr(10) || chr(10), '- an item' || chr(10) || chr(10), '## Another heading' || chr(10) || chr(10), 'Not alone' || chr(10)])[doc_id % 6 + 1]
+            || text || chr(10) || chr(10) || '### Second' || chr(10) || chr(10) || 'End of it' || chr(10) || chr(10) || 'last' t from documents where text is not null),
+        l as (select doc_id, t, i, a[i] l, coalesce(list_sum([len(x) + 1 for x in a[1:i - 1]]), 0)::bigint pos from (select *, unnest(range(1, len(a) + 1)) i from (select doc_id, t, string_split(t, chr(10)) a from r))),
+        n as (select *, lead(i) over w i2, lead(l) over w l2, lead(pos) over w pos2, lead(i, 2) over w i3, lead(l, 2) over w l3 from l where not regexp_matches(l, '^[ \t]*$') window w as (partition by doc_id order by i)),
+        m as (select *, {strip('l2')} matched_text, (pos2 + len(l2) - len(regexp_replace(l2, '^[{WS}]+', '')))::int char_offset from n
+              where regexp_matches(l, '^#{{1,6}}[ \t]+[^ \t]') and i2 > i + 1 and i3 > i2 + 1 and regexp_matches(l3, '^[^#{WS}]'))
+        select doc_id, matched_text, char_offset, {LINE} as line, {COLUMN} as column from m
+        where not regexp_matches(matched_text, '^(?:#|[-*+] )') and len({words('matched_text')}) between 1 and 6""",
     "rule_baseline": f"with {allowances()} select doc_id, rule_id, profile_count, round(profile_rate_per_1000, 9) profile_rate_per_1000, draft_count, allowance, greatest(0, draft_count - allowance)::bigint excess from b",
     "within_allowance": f"with {allowances()} select f.doc_id, f.rule_id, {LINE} as line, {COLUMN} as column, row_number() over (partition by f.doc_id, f.rule_id order by {LINE}, {COLUMN}) <= b.allowance within_allowance from f join b on b.doc_id = f.doc_id and b.rule_id = f.rule_id",
-    "style_gaps": f"with {PROFILE} select dd.doc_id, dd.words::bigint words, {', '.join(f'round(dd.{g}, 6) draft_{g}, round(p.{g}, 6) profile_{g}, round(dd.{g} - p.{g}, 6) delta_{g}' for g in GAPS)} from dd, p",
+    "style_gaps": f"""with {PROFILE}, {diversity(stream('doc_id'))}, {REF}, {diversity(stream('1', 'ref'), 'whole')}
+        select dd.doc_id, dd.words::bigint words, {', '.join(f'round(dd.{g}, 6) draft_{g}, round(p.{g}, 6) profile_{g}, round(dd.{g} - p.{g}, 6) delta_{g}' for g in GAPS)},
+        round(mtld.mtld, 6) draft_mtld, round(whole.mtld, 6) profile_mtld, round(mtld.mtld - whole.mtld, 6) delta_mtld from dd cross join p cross join whole left join mtld on mtld.k = dd.doc_id""",
     "assessment_issues": f"with {ISSUES} select doc_id, issue_id, kind, section, priority, requested, deduction, row_number() over (partition by doc_id order by list_position(['high', 'medium', 'low'], priority), so, issue_id) place from final",
     "assessment_score": f"""with {ISSUES}, lost as (select doc_id, {', '.join(f"coalesce(sum(deduction) filter (section = '{x}'), 0) {x}" for x in ('clarity_directness', 'readability', 'rhythm_structure', 'vocabulary_style'))} from final group by doc_id),
         y2 as (select dd.doc_id, dd.words > 0 and flesch_reading_ease is not null ok, {', '.join(f'(25 - coalesce(lost.{x}, 0))::int {x}' for x in ('clarity_directness', 'readability', 'rhythm_structure', 'vocabulary_style'))} from dd left join lost using (doc_id)),
         t2 as (select *, clarity_directness + readability + rhythm_structure + vocabulary_style total from y2)
         select doc_id, case when ok then 'scored' else 'unscored' end status, case when ok then total::int end total, case when ok then case when total >= 90 then 'High alignment' when total >= 75 then 'Moderate alignment' when total >= 60 then 'Low alignment' else 'Very low alignment' end end as label,
         {', '.join(f'case when ok then {x} end {x}' for x in ('clarity_directness', 'readability', 'rhythm_structure', 'vocabulary_style'))} from t2""",
-    "assessment_statistics": f"""with {PROFILE}, v as (
+    "assessment_statistics": f"""with {PROFILE}, {diversity(stream('doc_id'))}, {REF}, {diversity(stream('1', 'ref'), 'whole')}, v as (
+        select doc_id, 'mtld' statistic, mtld.mtld as value, whole.mtld target, case when mtld.mtld is null then 'unavailable' when whole.mtld is null then 'informational'
+            when mtld.mtld = whole.mtld then 'aligned; informational' when mtld.mtld > whole.mtld then 'higher than target; informational' else 'lower than target; informational' end interpretation
+            from dd left join mtld on mtld.k = doc_id left join whole on true union all
         select doc_id, 'word_count' statistic, words::double as value, null::double target, 'informational' interpretation from dd
         union all select doc_id, 'paragraph_count', paragraph_count, null, case when paragraph_count is null then 'unavailable' else 'informational' end from dd
         {' '.join(_statistic(*x) for x in STATISTICS)}) select doc_id, statistic, round(value, 6) as value, interpretation from v""",
@@ -309,7 +342,8 @@ ORACLES: dict[str, str] = {
               union all select 4, nulls, 0.0, case when nulls = 0 then 'pass' else 'fail' end, null from x
               union all select 5, short, 0.0, case when short = 0 then 'pass' else 'fail' end, shortest::varchar from x)
         select criterion, round(measured, 9) measured, round(compared_with, 9) compared_with, status, label, case when exists (select 1 from c where status = 'fail') then 'insufficient' else 'sufficient' end verdict from c""",
-    "id_alignment": "with r as (select distinct source, doc_id % 40 id from documents) select s.source, i.id from (select distinct source from r) s, (select distinct id from r) i where (s.source, i.id) not in (select source, id from r)",
+    "id_alignment": """with v as (select doc_id id from documents where doc_id % 50 <> 3 union all select -doc_id from documents where doc_id % 100 = 5)
+        select 'revised' system, doc_id id, 'missing' how from documents where doc_id not in (select id from v) union all select 'revised', id, 'extra' from v where id not in (select doc_id from documents)""",
     "run_aggregate": f"with {long_runs()} select system, metric, round(min(value), 9) as min, round(max(value), 9) as max, round(avg(value), 9) as mean, round(stddev_pop(value), 9) as stddev, round(max(value) - min(value), 9) spread, count(value) n_runs, count(*) - count(value) n_null from r group by all",
     "noise_floor": f"with {long_runs()}, {FLOOR}, top as (select metric, min(system) system from a join fl using (metric) where spread = floor group by metric) select metric, round(floor, 9) floor, system, n_runs_min, n_runs_min < 5 bound_only from fl join top using (metric)",
     "compare_systems": f"""with {long_runs()}, {FLOOR}, x as (select metric, max(value) filter (system = 'en') a, max(value) filter (system = 'de') b from r where run = 0 group by metric)
@@ -324,8 +358,10 @@ ORACLES: dict[str, str] = {
         select doc_id, md5('System.' || chr(10) || chr(10) || '{REVISION}' || chr(10) || chr(10) || l || chr(10) || chr(10) || t) prompt_md5 from g""",
     "reference_provenance": f"with {REF} select count(*) record_count, sum(len({words('text')}))::bigint word_count, 6 rule_count from ref",
     "frontmatter_strip": f"select doc_id, md5({strip('text')}) text_md5 from documents",
-    "slugs": "select doc_id, coalesce(nullif(trim(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'doc') slug from documents",
+    "slugs": "select doc_id, coalesce(nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'doc') slug from documents",
     "excerpts": rf"""with f as (select doc_id, {strip(f"regexp_replace(text, '[{WS}]+', ' ', 'g')")} t from documents) select doc_id, case when len(t) <= 180 then t else regexp_replace(left(t, 179), '[{WS}]+$', '') || '…' end excerpt from f""",
+    "mtld": f"with {diversity(stream('doc_id'))} select doc_id, round(mtld, 9) mtld from documents left join mtld on k = doc_id",
+    "corpus_mtld": f"with {diversity(stream('source'))} select s.source, round(mtld, 9) mtld from (select distinct source from documents) s left join mtld on k = s.source",
     "corpus_report": f"""with {PROFILE}, {pack()}, {REF_TOKENS}, tk2 as (select source, token, count(*) n from (select source, unnest({words('text')}) token from documents) group by all),
         pp as (select source, token, n / sum(n) over (partition by source) p from tk2), qq as (select token, n / sum(n) over () q from rt), zz as (select sum(q * q) z from qq),
         l2 as (select source, sqrt(sum((p - coalesce(q, 0)) ** 2) + any_value(z) - sum(coalesce(q, 0) ** 2)) l2 from pp left join qq using (token), zz group by source),
@@ -337,3 +373,4 @@ ORACLES: dict[str, str] = {
         sum(paragraphs)::double paragraph_count, round(sum(sentences) / sum(paragraphs), 6) mean_paragraph_sentence_count, round(sum(singles) / sum(paragraphs), 6) single_sentence_paragraph_rate, any_value(tt.token) top_token
         from q left join fs on fs.source = q.source left join l2 on l2.source = q.source left join tt on tt.source = q.source group by q.source""",
 }
+ORACLES["corpus_report_mtld"] = f"with {diversity(stream('source'))}, b as ({ORACLES['corpus_report']}) select b.*, round(mtld.mtld, 6) mtld from b left join mtld on mtld.k = b.system"

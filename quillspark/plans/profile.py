@@ -16,6 +16,7 @@ from quillspark.cluster import written
 from quillspark.functions.text import slug, token_count
 from quillspark.operators import assess
 from quillspark.operators import metrics as m
+from quillspark.operators.corpus import subsamples
 from quillspark.operators.findings import audit
 from quillspark.operators.rules import Rule, fingerprint
 from quillspark.operators.segments import opening_runs, sentences
@@ -35,12 +36,13 @@ class Profile:
     rules: DataFrame
 
 
-def statistics(texts: DataFrame, order: str = "ord", text: str = "text") -> dict:
-    """Metrics of a corpus, its paragraphs and its most frequent content words."""
+def statistics(texts: DataFrame, order: str = "ord", text: str = "text", diversity: bool = True) -> dict:
+    """Metrics of a corpus, its paragraphs and its most frequent content words. diversity: whether lexical diversity is among them, which no score needs; else it is None."""
     docs = texts.withColumn("_system", F.lit("all"))
     counts = m.token_counts(docs, ("_system",), text).persist()
     try:
-        sums = m.summed(m.joined_structure(docs, "_system", order, text), ["_system"]).join(m.corpus_syllables(counts, ("_system",)), "_system", "left").join(m.corpus_mtld(docs, "_system", order, text), "_system", "left")
+        sums = m.summed(m.joined_structure(docs, "_system", order, text), ["_system"]).join(m.corpus_syllables(counts, ("_system",)), "_system", "left")
+        sums = sums.join(m.corpus_mtld(docs, "_system", order, text), "_system", "left") if diversity else sums.withColumn("mtld", F.lit(None).cast("double"))
         row = sums.select("words", *(c.alias(k) for k, c in m.structure_metrics().items()), *(c.alias(k) for k, c in m.readability(F.col("words"), F.col("sentences"), F.coalesce("syllables", F.lit(0))).items()), "mtld", *(c.alias(k) for k, c in m.paragraph_metrics().items())).first()
         found = row.asDict() if row else {"words": 0}
         found["top_tokens"] = [{"token": r["token"], "count": r["n"]} for r in m.top_tokens(counts.drop("_system")).collect()]
@@ -57,18 +59,20 @@ def rule_counts(texts: DataFrame, rules: Sequence[Rule], text: str = "text") ->
     return every.join(found, "rule_id", "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("profile_count"))
 
 
-def make_profile(name: str, texts: DataFrame, rules: Sequence[Rule], order: str = "ord", text: str = "text") -> Profile:
-    found = statistics(texts, order, text)
+def make_profile(name: str, texts: DataFrame, rules: Sequence[Rule], order: str = "ord", text: str = "text", diversity: bool = True) -> Profile:
+    found = statistics(texts, order, text, diversity)
     return Profile(name, found.pop("words"), found, m.token_counts(texts, (), text), rule_counts(texts, rules, text))
 
 
 # Drafts against a profile.
 
 
-def style_gap(drafts: DataFrame, profile: Profile, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keys, words, draft_* and profile_* metrics, delta_*, opening_runs: a row for each draft."""
-    rows = m.document_structure(drafts.select(*keys, text), text).withColumn("draft_mtld", m.mtld(F.col(text)))
-    rows = rows.withColumn("_spans", sentences(F.col(text))).withColumn("opening_runs", opening_runs(F.col(text), F.col("_spans"))).drop("_spans")
+def style_gap(drafts: DataFrame, profile: Profile, keys: Sequence[str] = ("doc_id",), text: str = "text", diversity: bool = True) -> DataFrame:
+    """keys, words, draft_* and profile_* metrics, delta_*, opening_runs: a row for each draft. A text is cut into sentences once, for the counters and the runs."""
+    rows = drafts.select(*keys, text).withColumn("_spans", sentences(F.col(text))).withColumn("opening_runs", opening_runs(F.col(text), F.col("_spans")))
+    rows = rows.withColumn("_paragraphs", m.measured_spans(F.col("_spans"))).drop("_spans")
+    rows = rows.withColumns(m.structure_columns(F.col("_paragraphs")) | {"words": token_count(F.col(text)).cast("long")}).drop("_paragraphs")
+    rows = rows.withColumn("draft_mtld", m.mtld(F.col(text)) if diversity else F.lit(None).cast("double"))
     rows = rows.withColumn("syllables", m.text_syllables(F.col(text)))
     found = m.structure_metrics() | m.readability(F.col("words"), F.col("sentences"), F.col("syllables")) | m.paragraph_metrics()
     rows = rows.withColumns({f"draft_{k}": c for k, c in found.items()})
@@ -90,10 +94,11 @@ class Assessment:
     statistics: DataFrame
 
 
-def assess_drafts(drafts: DataFrame, profile: Profile, rules: Sequence[Rule], keys: Sequence[str] = ("doc_id",), text: str = "text") -> Assessment:
+def assess_drafts(drafts: DataFrame, profile: Profile, rules: Sequence[Rule], keys: Sequence[str] = ("doc_id",), text: str = "text", diversity: bool = True) -> Assessment:
+    """diversity: whether drafts' lexical diversity is computed; no issue or score uses it."""
     # Both are read several times below, and they hold all the work on texts.
     findings = written(audit(drafts, rules, keys=keys, text=text), "findings")
-    gaps = written(style_gap(drafts, profile, keys, text), "gaps")
+    gaps = written(style_gap(drafts, profile, keys, text, diversity), "gaps")
     counts = findings.groupBy(*keys, "rule_id").agg(F.count("*").alias("draft_count"))
     baseline = assess.rule_baseline(gaps, counts, profile.rules, profile.words, keys)
     scored = gaps.where((F.col("words") > 0) & F.col("draft_flesch_reading_ease").isNotNull())
@@ -102,6 +107,33 @@ def assess_drafts(drafts: DataFrame, profile: Profile, rules: Sequence[Rule], ke
     return Assessment(findings, baseline, gaps, issues, assess.scores(gaps, issues, keys), assess.statistics(gaps, keys))
 
 
+def subsample_scores(texts: DataFrame, drafts: DataFrame, rules: Sequence[Rule], sizes: Sequence[int], trials: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """size, trial, draft, total: scores of every draft against profiles of ``sizes`` texts drawn without replacement.
+
+    Texts are measured once; a profile is a sum of counters, so the draws move rows of numbers. There are as many profiles as sizes and trials.
+    """
+    counters = m.document_structure(texts.select(id, text), text).withColumn("syllables", m.text_syllables(F.col(text))).drop(text)
+    counters = written(counters, "counters")
+    drawn = written(subsamples(counters, sizes, trials, id), "drawn")
+    sums = drawn.groupBy("size", "trial").agg(*(F.sum(c).alias(c) for c in (*m.COUNTERS, "syllables")))
+    found = m.structure_metrics() | m.readability(F.col("words"), F.col("sentences"), F.col("syllables")) | m.paragraph_metrics()
+    known = [k for k in [*assess.GAP_METRICS, *assess.PARAGRAPH_METRICS] if k != "mtld"]
+    profiles = sums.select("size", "trial", F.col("words").alias("profile_words"), *(found[k].alias(f"profile_{k}") for k in known), F.lit(None).cast("double").alias("profile_mtld"))
+    by_text = audit(texts, rules, keys=(id,), text=text, positions=False).groupBy(id, "rule_id").agg(F.count("*").alias("n"))
+    counts = drawn.select("size", "trial", id).join(by_text, id).groupBy("size", "trial", "rule_id").agg(F.sum("n").alias("profile_count"))
+    empty = Profile("", 0, {}, None, None)
+    draft = style_gap(drafts, empty, (id,), text, diversity=False)
+    draft = draft.select(id, "words", *(c for c in draft.columns if c.startswith("draft_")), "opening_runs")
+    keys = ("size", "trial", id)
+    gaps = written(draft.crossJoin(F.broadcast(profiles)), "gaps")  # a row for each size and trial
+    places = assess.finding_places(audit(drafts, rules, keys=(id,), text=text), (id,))
+    both = places.join(gaps.select(*keys, "words", "profile_words"), id).join(F.broadcast(counts), ["size", "trial", "rule_id"], "left").na.fill(0, ["profile_count"])
+    excess = F.col("n") - assess.allowance(F.col("profile_count"), F.col("words"), F.col("profile_words"))
+    issues = assess.excess_issues(both.withColumn("excess", excess).where("excess > 0"), keys).unionByName(assess.profile_issues(gaps, keys))
+    scored = assess.scores(gaps, assess.assign(issues, keys), keys)
+    return scored.select("size", "trial", F.col(id).alias("draft"), "total")
+
+
 # Profiles on disk: the texts, a summary and two caches with what they were made from.
 
 

@@ -19,8 +19,9 @@ from quillspark.operators.findings import audit, mark_within_allowance, tell_rat
 from quillspark.operators.literals import compare_literals, literal_rows, literal_summary
 from quillspark.operators.rules import Rule, load_rules
 from quillspark.operators.segments import sentences
-from quillspark.plans.profile import Profile, assess_drafts, make_profile, rule_counts, style_gap
+from quillspark.plans.profile import Profile, assess_drafts, make_profile, rule_counts, style_gap, subsample_scores
 from quillspark.plans.report import finding_counts, provenance, system_report
+from quillspark.sources.readers import id_differences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,11 +130,11 @@ def readability_by_source(spark, sf_dir):
 
 
 def mtld(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", m.mtld(F.col("text")).alias("mtld"))
+    return docs_of(spark, sf_dir).select("doc_id", _r(m.mtld(F.col("text"))).alias("mtld"))
 
 
 def corpus_mtld(spark, sf_dir):
-    return m.corpus_mtld(docs_of(spark, sf_dir), "source", "doc_id")
+    return _rounded(m.corpus_mtld(docs_of(spark, sf_dir), "source", "doc_id"), "mtld")
 
 
 def lint_findings(spark, sf_dir):
@@ -202,11 +203,14 @@ def connector_openers(spark, sf_dir):
 
 
 def fragmented_header(spark, sf_dir):
-    return _detected(spark, sf_dir, "fragmented_header", F.concat(F.lit("# Title\n\nA short start\n\n"), F.col("text")))
+    """Headings with one of six lines below: short, with marks, long, a list item, a heading, and a short line without a blank one after it."""
+    lines = ["A short start\n\n", "  Two words\n \n\n", "This line has far more than six words\n\n", "- an item\n\n", "## Another heading\n\n", "Not alone\n"]
+    line = F.element_at(F.array(*(F.lit(x) for x in lines)), (F.col("doc_id") % len(lines) + 1).cast("int"))
+    return _detected(spark, sf_dir, "fragmented_header", F.concat(F.lit("# Title\n\n"), line, F.col("text"), F.lit("\n\n### Second\n\nEnd of it\n\nlast")))
 
 
-def _profile(spark, sf_dir) -> Profile:
-    return make_profile("quality", reference_of(spark, sf_dir), DRAFT_RULES, order="doc_id")
+def _profile(spark, sf_dir, diversity: bool = True) -> Profile:
+    return make_profile("quality", reference_of(spark, sf_dir), DRAFT_RULES, order="doc_id", diversity=diversity)
 
 
 def _light_profile(spark, sf_dir) -> Profile:
@@ -236,12 +240,12 @@ def within_allowance(spark, sf_dir):
 
 def style_gaps(spark, sf_dir):
     out = style_gap(docs_of(spark, sf_dir), _profile(spark, sf_dir))
-    names = [f"{side}_{k}" for k in assess.GAP_METRICS if k != "mtld" for side in ("draft", "profile", "delta")]
+    names = [f"{side}_{k}" for k in assess.GAP_METRICS for side in ("draft", "profile", "delta")]
     return out.select("doc_id", "words", *(_r(c, 6).alias(c) for c in names))
 
 
-def _assessment(spark, sf_dir):
-    return assess_drafts(docs_of(spark, sf_dir), _profile(spark, sf_dir), DRAFT_RULES)
+def _assessment(spark, sf_dir, diversity: bool = False):
+    return assess_drafts(docs_of(spark, sf_dir), _profile(spark, sf_dir, diversity), DRAFT_RULES, diversity=diversity)
 
 
 def assessment_issues(spark, sf_dir):
@@ -253,7 +257,7 @@ def assessment_score(spark, sf_dir):
 
 
 def assessment_statistics(spark, sf_dir):
-    return _assessment(spark, sf_dir).statistics.where("statistic <> 'mtld'").select("doc_id", "statistic", _r("value", 6).alias("value"), "interpretation")
+    return _assessment(spark, sf_dir, True).statistics.select("doc_id", "statistic", _r("value", 6).alias("value"), "interpretation")
 
 
 def section_cap(spark, sf_dir):
@@ -298,10 +302,10 @@ def literal_totals(spark, sf_dir):
 
 
 def id_alignment(spark, sf_dir):
-    """Ids that a system lacks or has in excess, of those that some system has."""
-    rows = docs_of(spark, sf_dir).select("source", (F.col("doc_id") % 40).alias("id")).distinct()
-    every = rows.select("source").distinct().crossJoin(F.broadcast(rows.select("id").distinct()))  # 40 ids
-    return every.join(rows, ["source", "id"], "left_anti")
+    """Ids that each of two systems, the documents and their revision, lacks or has in excess."""
+    docs = docs_of(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    revised = _revised(docs_of(spark, sf_dir)).select(F.lit("revised").alias("system"), F.col("doc_id").alias("id"))
+    return id_differences(docs.select(F.lit("documents").alias("system"), "id").unionByName(revised), docs)
 
 
 def _runs(spark, sf_dir):
@@ -370,7 +374,7 @@ def frontmatter_strip(spark, sf_dir):
 
 
 def slugs(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", t.slug(F.left("text", F.lit(60))).alias("slug"))
+    return docs_of(spark, sf_dir).select("doc_id", t.slug(F.col("text")).alias("slug"))
 
 
 def excerpts(spark, sf_dir):
@@ -378,10 +382,8 @@ def excerpts(spark, sf_dir):
 
 
 def score_noise(spark, sf_dir):
-    """Spread of mean sentence length over subsamples of documents, for profiles of three sizes."""
-    rows = m.document_structure(docs_of(spark, sf_dir)).select("doc_id", "lang", "sentences", "sentence_words")
-    drawn = corpus.subsamples(rows, [50, 100, 200], 10, id="doc_id")
-    scores = drawn.groupBy("size", "trial", F.col("lang").alias("draft")).agg((F.sum("sentence_words") / F.sum("sentences")).alias("total"))
+    """Spread of the other labelled documents' scores against profiles of 20, 50 and 100 documents of good quality, ten each."""
+    scores = subsample_scores(reference_of(spark, sf_dir), reference_of(spark, sf_dir, 0), DRAFT_RULES, [20, 50, 100], 10)
     return _rounded(corpus.score_noise(scores), "mean_sd", "median_sd", "worst_sd", "coverage", "mean_range", "mean_trimmed_range")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 from collections.abc import Sequence
 from pathlib import Path
@@ -74,17 +75,35 @@ def read_systems(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.regexp_extract("file", r"([^/]+)\.jsonl$", 1).alias("system"), F.col("line").cast("long").alias("ord"), "id", "text")
 
 
-def check_ids(outputs: DataFrame, references: DataFrame) -> None:
-    """Each system has the references' ids, no more and no less."""
+def id_differences(outputs: DataFrame, references: DataFrame) -> DataFrame:
+    """system, id, how: ids of the references that a system lacks (missing), and ids that it has and they have not (extra)."""
     systems = outputs.select("system").distinct()
     wanted = systems.crossJoin(references.select("id"))  # a set of expected ids for each system, by contract
     missing = wanted.join(outputs, ["system", "id"], "left_anti").withColumn("how", F.lit("missing"))
     extra = outputs.select("system", "id").join(references, "id", "left_anti").select("system", "id").withColumn("how", F.lit("extra"))
-    bad = missing.unionByName(extra).orderBy("system", "how", "id").first()
+    return missing.unionByName(extra)
+
+
+def check_ids(outputs: DataFrame, references: DataFrame) -> None:
+    """Each system has the references' ids, no more and no less."""
+    bad = id_differences(outputs, references).orderBy("system", "how", "id").first()
     if bad:
         raise InputError(f"system {bad['system']!r} has a {bad['how']} id: {bad['id']!r}")
 
 
+def read_samples(spark: SparkSession, paths: Sequence[str], root: str) -> DataFrame:
+    """path (as given) and text of files under a folder, which are told apart by their whole paths; one that is missing or no UTF-8 raises."""
+    local = "://" not in root
+    full = {p: str((Path(root) / p).resolve()) if local else f"{root.rstrip('/')}/{p}" for p in paths}
+    for path, at in full.items():
+        if local and not Path(at).is_file():
+            raise InputError(f"cannot read sample {path}")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    names = spark.createDataFrame(sorted(full.items()), "path string, file string").select("path", plain(F.col("file")).alias("file"))
+    files = spark.read.format("binaryFile").load([re.sub(r"([\\*?\[\]{}^,])", r"\\\1", at) for at in sorted(set(full.values()))])
+    return names.join(files.select(plain(F.col("path")).alias("file"), F.decode("content", "UTF-8").alias("text")), "file").select("path", "text")
+
+
 def read_word_counts(spark: SparkSession, path: str) -> DataFrame:
     """id, word_count (whole numbers only); of lines with one id, the last counts."""
     value = F.try_parse_json("raw")

@@ -256,3 +256,35 @@ def test_streams(spark, tmp_path):
         assert query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "f-out")).where("rule_id = 'em_dash_ban'").count() == 6
     assert spark.read.parquet(str(tmp_path / "s-out")).agg(F.sum("sentences")).first()[0] == 30
+
+
+def test_samples_are_joined_by_their_whole_path(spark, tmp_path):
+    for name, body in (("x.md", "top text"), ("sub/x.md", "inner text"), ("a file [1].md", "text with a blank and a bracket in its name")):
+        (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / name).write_text(body)
+    paths = ["x.md", "sub/x.md", "a file [1].md", "sub/../x.md"]
+    got = {r["path"]: r["text"] for r in readers.read_samples(spark, paths, str(tmp_path / "root")).collect()}
+    assert got == {"x.md": "top text", "sub/x.md": "inner text", "a file [1].md": "text with a blank and a bracket in its name", "sub/../x.md": "top text"}
+    with pytest.raises(readers.InputError):
+        readers.read_samples(spark, ["none.md"], str(tmp_path / "root"))
+
+
+def test_score_noise_trims_by_place(spark):
+    scores = spark.createDataFrame([(10, k, 1, k * k) for k in range(40)] + [(10, k, 2, 7) for k in range(40)], "size int, trial int, draft int, total int")
+    (row,) = corpus.score_noise(scores).collect()
+    ordered = sorted(k * k for k in range(40))
+    assert row["mean_trimmed_range"] == (ordered[37] - ordered[2]) / 2 and row["mean_range"] == 39 * 39 / 2
+
+
+def test_subsample_scores_equal_scores_against_each_drawn_profile(spark):
+    from quillspark.operators.rules import Rule
+    from quillspark.plans.profile import assess_drafts, make_profile, subsample_scores
+
+    rules = [Rule("the", "warn", r"(?i)\bthe\b", "An article."), Rule("repeated_openings", "info", "repeated_openings", "Alike.")]
+    pool = spark.createDataFrame([(k, f"The cat number {k} sat on the mat. It was warm there{' and quiet' * (k % 4)}.") for k in range(30)], "doc_id bigint, text string")
+    drafts = spark.createDataFrame([(100 + k, "The dog ran to the house. " * (k + 1) + "Nothing else happened on that day.") for k in range(3)], "doc_id bigint, text string")
+    got = {(r["size"], r["trial"], r["draft"]): r["total"] for r in subsample_scores(pool, drafts, rules, [5, 10], 2).collect()}
+    assert len(got) == 12
+    drawn = corpus.subsamples(pool, [5, 10], 2, "doc_id").where("size = 10 and trial = 1").select("doc_id", "text")
+    wanted = assess_drafts(drafts, make_profile("p", drawn, rules, order="doc_id", diversity=False), rules, diversity=False).scores
+    assert {r["doc_id"]: r["total"] for r in wanted.collect()} == {d: got[10, 1, d] for d in (100, 101, 102)}
