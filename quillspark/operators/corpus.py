@@ -17,6 +17,7 @@ PROMPTS = {
     "product_writing": "Write product copy titled '%s'. Target length about %d words. Concrete benefits, no hype adjectives.",
     "exec_communication": "Write a concise executive communication titled '%s'. Target length about %d words. Lead with the decision or ask.",
 }
+# Fixed value: the instruction of a revision prompt.
 REVISION = "Revise the following text to eliminate the listed style violations. Change only the offending spans; preserve meaning, length, and voice. Return only the revised text."
 
 
