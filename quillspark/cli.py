@@ -10,6 +10,7 @@ import json
 import shlex
 import subprocess
 import sys
+from collections import Counter
 from collections.abc import Sequence
 from typing import Any
 
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from quillspark import __version__
 from quillspark.operators import compare, corpus
 from quillspark.operators import metrics as m
-from quillspark.operators.findings import audit, mark_within_allowance, ordered
+from quillspark.operators.findings import audit, mark_within_allowance
+from quillspark.operators.literals import compare_literals, literal_summary
 from quillspark.operators.rules import BUILTIN, RuleError, load_rules, rules_version
 from quillspark.plans import profile as profiles
 from quillspark.plans import render, revise
@@ -69,30 +71,43 @@ def _check(spark: SparkSession, a: argparse.Namespace) -> int:
     rules = load_rules(a.rules)
     draft = readers.read_draft(spark, a.path, sys.stdin)
     found = audit(draft, rules)
-    result: dict[str, Any] = {}
+    result: dict[str, Any] = {"file": a.path}
     if a.style:
         profile = profiles.load_profile(spark, a.style, a.profiles_root, rules)
         done = profiles.assess_drafts(draft, profile, rules)
         found = mark_within_allowance(found, done.baseline)
         score = _rows(done.scores)[0]
         issues, statistics = _rows(done.issues.orderBy("place")), _rows(done.statistics)
-        result["assessment"] = {"profile": a.style, "score": score, "issues": issues, "statistics": statistics, "rule_baseline": _rows(done.baseline.orderBy("rule_id"))}
-        over = m.top_overrepresented(m.token_counts(draft, ("doc_id",)), profile.tokens, ("doc_id",), 10, m.STOPWORDS)
-        result["style_gap"] = {"token_1gram_l2": _rows(m.token_l2(m.token_counts(draft, ("doc_id",)), profile.tokens, ("doc_id",))), "top_overrepresented": _rows(over.orderBy("rank"))}
-    findings = _rows(ordered(found))
+        result["assessment"] = {"profile": a.style, "schema_version": profiles.ASSESSMENT_VERSION, "score": score, "issues": issues, "statistics": statistics, "rule_baseline": _rows(done.baseline.orderBy("rule_id"))}
+        profiles.check_assessment(score, issues)
+        over = _rows(m.top_overrepresented(m.token_counts(draft, ("doc_id",)), profile.tokens, ("doc_id",), 10, m.STOPWORDS).orderBy("rank"))
+        distance = _rows(m.token_l2(m.token_counts(draft, ("doc_id",)), profile.tokens, ("doc_id",)))
+        gaps = [{k: r[k] for k in ("metric", "draft", "profile", "delta")} for r in _rows(profiles.gap_rows(done.gaps))]
+        result["style_gap"] = {"profile": a.style, "metrics": gaps, "token_1gram_l2": distance[0]["l2"] if distance else None, "top_overrepresented": [{k: r[k] for k in ("token", "rate_difference")} for r in over]}
+    findings = sorted(_rows(found), key=lambda f: (f["line"], f["column"], f["rule_id"]))
+    result["findings"] = [{k: f[k] for k in ("rule_id", "severity", "message", "line", "column")} | {"span": f["matched_text"], "within_allowance": bool(f.get("within_allowance"))} for f in findings]
     one = m.document_structure(draft).withColumn("syllables", m.text_syllables(F.col("text")))
     metrics = m.structure_metrics() | m.readability(F.col("words"), F.col("sentences"), F.col("syllables")) | m.paragraph_metrics()
     values = _rows(one.select("words", *(c.alias(k) for k, c in metrics.items()), m.mtld(F.col("text")).alias("mtld")))[0]
-    values["tell_rate"] = len(findings) * 1000.0 / values["words"] if values["words"] else 0.0
+    severities = Counter(f["severity"] for f in findings)
+    rates = {k: n * 1000.0 / values["words"] if values["words"] else 0.0 for k, n in severities.items()}
+    l2 = result.get("style_gap", {}).get("token_1gram_l2")
     if a.references:
         reference = readers.read_records(spark, a.references, what="references")
         l2 = compare.record_l2(draft, m.token_counts(reference)).first()["l2"]
-        values["token_1gram_l2"] = l2
-    result |= {"path": a.path, "findings": findings, "metrics": values}
+    paragraphs = {k: values[k] for k in render.PARAGRAPH_METRICS}
+    result["metrics"] = {"word_count": values["words"], "tell_rates_by_severity": rates, **{k: values[k] for k in ("mean_sentence_length", "sentence_length_variance", "repeated_opening_rate")}, "token_1gram_l2": l2}
+    result["quality_metrics"] = {**{k: values[k] for k in render.QUALITY_METRICS}, "paragraph_stats": paragraphs if paragraphs["paragraph_count"] is not None else None}
     text = json.dumps(result, indent=2, sort_keys=True, default=str) + "\n"
     if a.json:
         readers.write_text(a.json, text)
-    sys.stdout.write(text if a.format == "json" else render.lint_text(findings, a.path, values) + (render.assessment_markdown(score, issues, statistics, a.style) if a.style else ""))
+    if a.format == "json":
+        sys.stdout.write(text)
+    elif a.style:
+        openings = [r for row in _rows(done.gaps.select("opening_runs")) for r in row["opening_runs"]]
+        sys.stdout.write(render.assessment_markdown(a.path, score, issues, statistics, result["findings"], openings))
+    else:
+        sys.stdout.write(render.lint_text(result))
     return 0
 
 
@@ -101,12 +116,12 @@ def _eval(spark: SparkSession, a: argparse.Namespace) -> int:
     reference = readers.read_records(spark, a.references, what="references")
     outputs = readers.read_systems(spark, a.outputs)
     readers.check_ids(outputs, reference)
-    systems = _rows(system_report(outputs, reference, rules))
+    systems = sorted(map(render.system_json, _rows(system_report(outputs, reference, rules))), key=lambda s: s["system_name"])
     source = provenance(reference, rules, reference_path=a.references, rules_path=str(a.rules), version=rules_version(a.rules))
     if a.report:
         readers.write_text(a.report, render.report_markdown(systems, source))
     if a.json:
-        readers.write_json(a.json, {"provenance": source, "systems": sorted(systems, key=lambda s: s["system"])})
+        readers.write_json(a.json, {"provenance": source, "systems": systems})
     if not a.report and not a.json:
         sys.stdout.write(render.report_markdown(systems, source))
     return 0
@@ -130,7 +145,7 @@ def _metrics(spark: SparkSession, reports: Sequence[str]) -> DataFrame:
     for n, path in enumerate(reports):
         document = readers.read_json(path)
         for s in document.get("systems", []):
-            rows += [(n, s["system"], k, None if s.get(k) is None else float(s[k])) for k in compare.REPORT_METRICS]
+            rows += [(n, s["system_name"], k, None if s["metrics"].get(k) is None else float(s["metrics"][k])) for k in compare.REPORT_METRICS]
     return spark.createDataFrame(rows, "run int, system string, metric string, value double")
 
 
@@ -160,7 +175,8 @@ def _compare(spark: SparkSession, a: argparse.Namespace) -> int:
         compare.check_runs(runs)
         made = compare.aggregate_runs(runs)
         floor = _rows(compare.noise_floor(made))
-        return _put(a, render.noise_markdown(floor), {"aggregate": _rows(made.orderBy("system", "metric")), "noise_floor": {r["metric"]: {k: v for k, v in r.items() if k != "metric"} for r in floor}})
+        spread = _rows(made.orderBy("system", "metric"))
+        return _put(a, render.noise_markdown(floor, spread, len(a.runs)), {"aggregate": spread, "noise_floor": {r["metric"]: {k: v for k, v in r.items() if k != "metric"} for r in floor}})
     if a.command == "compare":
         reports = _metrics(spark, [a.report, *([a.report_b] if a.report_b else [])])
         left, right = reports.where("run = 0"), reports.where(f"run = {1 if a.report_b else 0}")
@@ -169,13 +185,18 @@ def _compare(spark: SparkSession, a: argparse.Namespace) -> int:
                 raise readers.InputError(f"no system {name!r} in the report")
         both = left.where(F.col("system") == a.system_a).withColumn("system", F.lit("a")).unionByName(right.where(F.col("system") == a.system_b).withColumn("system", F.lit("b")))
         rows = _rows(compare.compare_systems(both.drop("run"), "a", "b", _floor(spark, a.noise_floor)))
-        return _put(a, render.comparison_markdown(rows, a.system_a, a.system_b), {"system_a": a.system_a, "system_b": a.system_b, "metrics": rows})
+        counts = {}
+        for side, path, name in (("a", a.report, a.system_a), ("b", a.report_b or a.report, a.system_b)):
+            one = next(s for s in readers.read_json(path)["systems"] if s["system_name"] == name)
+            counts |= {f"word_count_{side}": one["word_count"], f"warn_findings_{side}": one["findings_by_severity"].get("warn", 0), f"soft_findings_{side}": one["findings_by_severity"].get("info", 0)}
+        return _put(a, render.comparison_markdown(rows, a.system_a, a.system_b, counts), {"system_a": a.system_a, "system_b": a.system_b, "metrics": rows} | counts)
     floor = _floor(spark, a.noise_floor)
     l2 = floor.where("metric = 'token_1gram_l2'").first() if floor is not None else None
     current, audited = (readers.read_records(spark, p, need_tokens=False, what="outputs") for p in (a.current, a.audited))
     words = readers.read_word_counts(spark, a.eval_set) if a.eval_set else None
     rows = _rows(compare.decision_gate(current, audited, readers.read_records(spark, a.references, what="references"), load_rules(a.rules), l2["floor"] if l2 else None, a.tell_rate_threshold, words, id="id", order="line"))
-    return _put(a, render.gate_markdown(rows), {"criteria": rows, "verdict": rows[0]["verdict"]})
+    gate = render.gate_json(rows, _rows(literal_summary(compare_literals(current, audited, id="id")))[0])
+    return _put(a, render.gate_markdown(gate), gate)
 
 
 def _corpus(spark: SparkSession, a: argparse.Namespace) -> int:

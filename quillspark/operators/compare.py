@@ -69,14 +69,14 @@ def record_l2(records: DataFrame, reference: DataFrame, id: str = "doc_id") -> D
 
 
 def decision_gate(current: DataFrame, audited: DataFrame, reference: DataFrame, rules: Sequence[Rule], l2_floor: float | None, tell_rate_threshold: float = 2.0, eval_words: DataFrame | None = None, id: str = "doc_id", order: str | None = None) -> DataFrame:
-    """criterion, measured, compared_with, status, label, verdict: a row for each criterion.
+    """criterion, measured, compared_with, status, label, measures (all that was measured, by name), verdict: a row for each criterion.
 
     1 no warn finding; 2 tell rate; 3 mean distance of records against the current system's; 4 no
     record without a distance; 5 (with eval_words: id, word_count) length.
     """
     counts = token_counts(reference)
     found = audit(audited, rules, keys=(id,), positions=False).agg(F.count("*").alias("findings"), F.count_if(F.col("severity") == "warn").alias("warns"))
-    words = audited.select(id, token_count(F.col("text")).alias("words"))
+    words = audited.select(*dict.fromkeys([id, order or id]), token_count(F.col("text")).alias("words"))
     total = words.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
     sums = {k: record_l2(x, counts, id).agg(F.avg("l2").alias(f"mean_{k}"), F.count_if(F.col("l2").isNull()).alias(f"null_{k}")) for k, x in (("audited", audited), ("current", current))}
     one = found.crossJoin(total).crossJoin(sums["audited"]).crossJoin(sums["current"])  # one row each
@@ -86,18 +86,25 @@ def decision_gate(current: DataFrame, audited: DataFrame, reference: DataFrame,
     label = F.when(delta.isNull() | floor.isNull(), "n/a").when(F.abs(delta) <= floor, "inconclusive").otherwise("conclusive")
     nulls = F.col("null_audited") + F.col("null_current")
 
-    def row(n: int, measured: Column, against: Column, status: Column, label: Column | None = None) -> Column:
-        return F.struct(F.lit(n).alias("criterion"), measured.cast("double").alias("measured"), against.cast("double").alias("compared_with"), status.alias("status"), (F.lit(None).cast("string") if label is None else label).alias("label"))
+    def row(n: int, measured: Column, against: Column, status: Column, label: Column | None = None, **measures: Column) -> Column:
+        named = F.create_map(*(x for k, v in measures.items() for x in (F.lit(k), v.cast("double"))))
+        return F.struct(F.lit(n).alias("criterion"), measured.cast("double").alias("measured"), against.cast("double").alias("compared_with"), status.alias("status"), (F.lit(None).cast("string") if label is None else label).alias("label"), named.alias("measures"))
 
     def passes(ok: Column) -> Column:
         return F.when(ok, "pass").otherwise("fail")
 
-    rows = [row(1, F.col("warns"), F.lit(0), passes(F.col("warns") == 0)), row(2, rate, F.lit(tell_rate_threshold), passes((F.col("words") > 0) & (rate <= tell_rate_threshold))), row(3, delta, floor, third, label), row(4, nulls, F.lit(0), passes(nulls == 0))]
+    rows = [
+        row(1, F.col("warns"), F.lit(0), passes(F.col("warns") == 0), warn_finding_count=F.col("warns")),
+        row(2, rate, F.lit(tell_rate_threshold), passes((F.col("words") > 0) & (rate <= tell_rate_threshold)), tell_rate=rate, word_count=F.col("words"), finding_count=F.col("findings"), threshold=F.lit(tell_rate_threshold)),
+        row(3, delta, floor, third, label, mean_l2_audited=F.col("mean_audited"), mean_l2_current=F.col("mean_current"), delta=delta, noise_floor=floor),
+        row(4, nulls, F.lit(0), passes(nulls == 0), n_null_current=F.col("null_current"), n_null_audited=F.col("null_audited")),
+    ]
     if eval_words is not None:
         needed = words.join(eval_words.select(id, "word_count"), id, "left")
-        short = needed.agg(F.count_if(F.col("words") < F.greatest(F.lit(float(MIN_WORDS)), F.coalesce(F.lit(MIN_SHARE) * F.col("word_count"), F.lit(0.0)))).alias("short"), F.min_by(id, F.struct("words", order or id)).cast("string").alias("shortest"))
+        least = F.greatest(F.lit(float(MIN_WORDS)), F.coalesce(F.lit(MIN_SHARE) * F.col("word_count"), F.lit(0.0)))
+        short = needed.agg(F.count("*").alias("records"), F.count_if(F.col("words") < least).alias("short"), F.min_by(id, F.struct("words", order or id)).cast("string").alias("shortest"), F.coalesce(F.min("words"), F.lit(0)).alias("fewest"))
         one = one.crossJoin(short)
-        rows.append(row(5, F.col("short"), F.lit(0), passes(F.col("short") == 0), F.coalesce("shortest", F.lit("n/a"))))
+        rows.append(row(5, F.col("short"), F.lit(0), passes(F.col("short") == 0), F.coalesce("shortest", F.lit("n/a")), record_count=F.col("records"), below_threshold_count=F.col("short"), min_words=F.lit(MIN_WORDS), reference_fraction=F.lit(MIN_SHARE), shortest_words=F.col("fewest")))
     table = one.select(F.array(*rows).alias("rows"))
     final = F.when(F.exists("rows", lambda r: r["status"] == "fail"), "insufficient").when(F.exists("rows", lambda r: r["status"] == "blocked"), "blocked").otherwise("sufficient")
     return table.select(final.alias("verdict"), F.explode("rows").alias("r")).select("r.*", "verdict")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from quillspark.operators.segments import opening_runs, sentences
 from quillspark.sources.readers import InputError, clean_texts, read_json, read_records, read_texts, write_json, write_records
 
 METRICS_VERSION = 1
+#: Of assessments with a rule baseline.
+ASSESSMENT_VERSION = 2
 
 
 @dataclass(frozen=True)
@@ -82,6 +85,12 @@ def style_gap(drafts: DataFrame, profile: Profile, keys: Sequence[str] = ("doc_i
     return rows.select(*keys, "words", *(f"{side}_{k}" for k in known for side in ("draft", "profile")), *(f"delta_{k}" for k in assess.GAP_METRICS), "opening_runs")
 
 
+def gap_rows(gaps: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """keys, metric, draft, profile, delta: a row for each draft and metric of style_gap."""
+    rows = F.array(*(F.struct(F.lit(k).alias("metric"), *(F.col(f"{side}_{k}").cast("double").alias(side) for side in ("draft", "profile", "delta"))) for k in assess.GAP_METRICS))
+    return gaps.select(*keys, F.explode(rows).alias("g")).select(*keys, "g.*")
+
+
 @dataclass(frozen=True)
 class Assessment:
     """Tables of assessed drafts."""
@@ -107,6 +116,16 @@ def assess_drafts(drafts: DataFrame, profile: Profile, rules: Sequence[Rule], ke
     return Assessment(findings, baseline, gaps, issues, assess.scores(gaps, issues, keys), assess.statistics(gaps, keys))
 
 
+def check_assessment(score: Mapping[str, Any], issues: Sequence[Mapping[str, Any]]) -> None:
+    """Deductions of issues, of sections and of the total agree."""
+    if score["status"] != "scored":
+        return
+    by_section = {s: sum(i["deduction"] for i in issues if i["section"] == s) for s in assess.SECTIONS}
+    whole = assess.SECTION_MAXIMUM * len(assess.SECTIONS)
+    if any(score[s] != assess.SECTION_MAXIMUM - n for s, n in by_section.items()) or score["total"] != whole - sum(by_section.values()):
+        raise ValueError(f"an assessment's deductions do not add up: {score}")
+
+
 def subsample_scores(texts: DataFrame, drafts: DataFrame, rules: Sequence[Rule], sizes: Sequence[int], trials: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """size, trial, draft, total: scores of every draft against profiles of ``sizes`` texts drawn without replacement.
 

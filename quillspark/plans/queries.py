@@ -336,7 +336,7 @@ def decision_gate(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     current, audited = (docs.where(F.col("doc_id") % 2 == k) for k in (0, 1))
     words = docs.select("doc_id", F.floor(F.col("n_chars") / 6).alias("word_count"))
-    out = compare.decision_gate(current, audited, reference_of(spark, sf_dir), PACK, 0.005, eval_words=words)
+    out = compare.decision_gate(current, audited, reference_of(spark, sf_dir), PACK, 0.005, eval_words=words).drop("measures")
     return _rounded(out, "measured", "compared_with")
 
 

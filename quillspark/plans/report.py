@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,9 +51,16 @@ def system_report(docs: DataFrame, reference: DataFrame, rules: Sequence[Rule],
 
 
 def provenance(reference: DataFrame, rules: Sequence[Rule], *, reference_path: str = "", rules_path: str = "", version=None, text: str = "text") -> dict:
-    """Where a report's reference and rules come from. The corpus digest is that of its sorted id and text digests, so it needs no order of files."""
-    row = reference.agg(F.count("*").alias("n"), F.coalesce(F.sum(token_count(F.col(text))), F.lit(0)).alias("words"), F.sum(F.xxhash64(text).cast("decimal(38,0)")).cast("string").alias("digest")).first()
+    """Where a report's reference and rules come from. Digests are those of the files' bytes; None for what is no local file."""
+    row = reference.agg(F.count("*").alias("n"), F.coalesce(F.sum(token_count(F.col(text))), F.lit(0)).alias("words")).first()
     return {
-        "reference_corpus": {"path": reference_path, "record_count": row["n"], "word_count": row["words"], "digest": hashlib.sha256(str(row["digest"]).encode()).hexdigest()},
-        "rule_set": {"path": rules_path, "version": version, "rule_count": len(rules), "fingerprint": fingerprint(rules)},
+        "reference_corpus": {"path": reference_path, "record_count": row["n"], "word_count": row["words"], "sha256": _file_digest(reference_path)},
+        "rule_set": {"path": rules_path, "version": version, "rule_count": len(rules), "sha256": _file_digest(rules_path), "fingerprint": fingerprint(rules)},
     }
+
+
+def _file_digest(path: str) -> str | None:
+    if not Path(path).is_file():
+        return None
+    with Path(path).open("rb") as file:
+        return hashlib.file_digest(file, "sha256").hexdigest()

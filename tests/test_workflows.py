@@ -1,3 +1,4 @@
+import hashlib
 import json
 import sys
 
@@ -8,7 +9,7 @@ from quillspark import cli
 from quillspark.operators import corpus
 from quillspark.operators.rules import load_rules
 from quillspark.plans import profile as profiles
-from quillspark.plans import revise
+from quillspark.plans import render, revise
 from quillspark.plans.report import system_report
 from quillspark.sources import readers
 from quillspark.streaming.audit import read_documents, stream_findings, stream_structure
@@ -174,10 +175,16 @@ def test_check_command(profile, tmp_path, capsys):
     draft = tmp_path / "d.md"
     draft.write_text("We ship — fast.\nWe are done.")
     assert cli.main(["check", str(draft)]) == 0
-    assert ":1:9 [warn] em_dash_ban:" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert ":1:9 [warn] em_dash_ban:" in said and "\nmetrics:\n  word_count: 6\n  tell_rates_by_severity:\n" in said and "\nquality_metrics (informational):\n" in said
+    assert cli.main(["check", str(draft), "--style", "house", "--profiles-root", str(profile)]) == 0
+    said = capsys.readouterr().out
+    assert said.startswith(f"# Writing Evaluation\n\nFile: `{draft}`\n\n## Article score (heuristic)\n\n**") and "| **Total** | **" in said and "| Word count | 6 | n/a | informational |" in said
+    assert "- Line 1, column 1: “We” begins 2 consecutive sentences — We ship — fast. We are done." in said
     assert cli.main(["check", str(draft), "--style", "house", "--profiles-root", str(profile), "--format", "json"]) == 0
     got = json.loads(capsys.readouterr().out)
     assert [f["within_allowance"] for f in got["findings"] if f["rule_id"] == "em_dash_ban"] == [True] and got["assessment"]["score"]["total"] > 0
+    assert [g["metric"] for g in got["style_gap"]["metrics"]] == profiles.assess.GAP_METRICS and got["style_gap"]["token_1gram_l2"] > 0
     assert cli.main(["check", str(tmp_path / "absent.md")]) == 1
     assert cli.main(["check", str(draft), "--style", "a", "--references", "b"]) == 1
     assert cli.main(["check", str(draft), "--rules", str(tmp_path / "none.yaml")]) == 1
@@ -191,15 +198,29 @@ def test_eval_compare_and_gate_commands(tmp_path, capsys):
             lines(tmp_path / f"run{n}/{s}.jsonl", [{"id": k, "text": t + extra} for k, t in TEXTS.items()])
         assert cli.main(["--outputs", str(tmp_path / f"run{n}"), "--references", refs, "--report", str(tmp_path / f"r{n}.md"), "--json", str(tmp_path / f"r{n}.json")]) == 0
     report = (tmp_path / "r0.md").read_text()
-    assert "## one" in report and "| tell_rate |" in report and "polish_vocab | 6" in report
+    assert "## System: one" in report and "| Tell rate per 1,000 words | " in report and "- polish_vocab: 6" in report
+    assert f"- SHA-256: {hashlib.sha256((tmp_path / 'refs.jsonl').read_bytes()).hexdigest()}" in report
+    titles = [x for x in report.splitlines() if x.startswith("#")]
+    one = ["### Metrics", "### Quality Metrics (informational)", "### Tell Rates by Severity", "### Findings by Severity", "### Findings by Rule", "### Top Overrepresented Terms"]
+    assert titles == ["# Writing Evaluation Report", "## Provenance", "### Reference Corpus", "### Rule Set", "## System: one", *one, "## System: two", *one]
+    made = json.loads((tmp_path / "r0.json").read_text())["systems"][0]
+    assert set(made["metrics"]) == set(render.REPORT_METRICS) and set(made["quality_metrics"]["paragraph_stats"]) == set(render.PARAGRAPH_METRICS)
     floor = str(tmp_path / "floor.json")
     assert cli.main(["noise-floor", "--runs", str(tmp_path / "r0.json"), str(tmp_path / "r1.json"), "--json", floor]) == 0
     assert json.loads((tmp_path / "floor.json").read_text())["noise_floor"]["tell_rate"]["system"] == "two"
     assert cli.main(["compare", "--report", str(tmp_path / "r0.json"), "--system-a", "one", "--system-b", "two", "--noise-floor", floor]) == 0
-    assert "| tell_rate |" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert said.startswith("# System Comparison Report\n\nSystem A: one\nSystem B: two\n\n- Words A: ") and "| tell_rate |" in said
     assert cli.main(["compare", "--report", str(tmp_path / "r0.json"), "--system-a", "one", "--system-b", "nine"]) == 2
     args = ["gate", "--current", str(tmp_path / "run0/one.jsonl"), "--audited", str(tmp_path / "run0/two.jsonl"), "--references", refs, "--noise-floor", floor]
-    assert cli.main(args) == 0 and "Verdict: insufficient" in capsys.readouterr().out
+    assert cli.main([*args, "--json", str(tmp_path / "gate.json"), "--markdown", str(tmp_path / "gate.md")]) == 0
+    gate, said = json.loads((tmp_path / "gate.json").read_text()), (tmp_path / "gate.md").read_text()
+    assert said.endswith("Verdict: insufficient\n") and "- warn_finding_count: 18\n" in said and "## Informational diagnostics" in said
+    assert [c["id"] for c in gate["criteria"]] == [1, 2, 3, 4] and gate["diagnostics"]["literal_preservation"]["status"] == "pass" and gate["criteria"][1]["measured"]["threshold"] == 2.0
+    counts = lines(tmp_path / "eval.jsonl", [{"id": k, "word_count": 10} for k in TEXTS])
+    assert cli.main([*args, "--eval-set", counts, "--json", str(tmp_path / "gate.json")]) == 0
+    fifth = json.loads((tmp_path / "gate.json").read_text())["criteria"][4]
+    assert fifth["measured"]["record_count"] == len(TEXTS) == fifth["measured"]["below_threshold_count"] and fifth["measured"]["shortest_words"] > 0 and fifth["measured"]["shortest_id"] in TEXTS
     lines(tmp_path / "run0/two.jsonl", [{"id": "p0", "text": "x"}])
     assert cli.main(["eval", "--outputs", str(tmp_path / "run0"), "--references", refs]) == 1
     assert cli.main(["noise-floor", "--runs", str(tmp_path / "r0.json")]) == 2
