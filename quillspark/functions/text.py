@@ -45,9 +45,8 @@ _ONE, _TO, _MANY = _foldings()
 
 def casefold(text: Column) -> Column:
     """Unicode case folding: lower case, then the characters whose folding is another."""
-    folded = F.translate(F.lower(text), _ONE, _TO)
-    for char, to in _MANY:
-        folded = F.replace(folded, F.lit(char), F.lit(to))
+    many = F.expr(f"array({', '.join(f"struct('{c}' as a, '{to}' as b)" for c, to in _MANY)})")
+    folded = F.aggregate(many, F.translate(F.lower(text), _ONE, _TO), lambda s, p: F.replace(s, p["a"], p["b"]))
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(F.lower(text))
 
 
@@ -91,19 +90,35 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def running(values: Column, block: int = 256) -> Column:
-    """Sums of the values before each one. Blocks of values are summed by themselves, then shifted, so the time is linear."""
+def running_sql(values: str, block: int = 256) -> str:
+    """Sums of the values before each one, of an array of bigints. Blocks of values are summed by themselves, then shifted, so the time is linear.
 
-    def sums(a: Column, start: Column) -> Column:
-        first = F.struct(start.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(a, first, lambda s, x: F.struct((s["at"] + x).cast("bigint").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    SQL, as an expression built call by call takes the driver a thousand times longer.
+    """
+
+    def sums(a: str, start: str) -> str:
+        return f"aggregate({a}, named_struct('at', {start}, 'out', cast(array() as array<bigint>)), (s, x) -> named_struct('at', s.at + x, 'out', concat(s.out, array(s.at))), s -> s.out)"
+
+    cut = f"transform(sequence(0, cast(floor((size(a) - 1) / {block}) as int)), k -> slice(a, k * {block} + 1, {block}))"
+    starts = sums("transform(c, x -> aggregate(x, 0L, (t, v) -> t + v))", "0L")
+    blocks = f"get(transform(array({cut}), c -> flatten(zip_with(c, {starts}, (b, o) -> {sums('b', 'o')}))), 0)"
+    return f"get(transform(array({values}), a -> if(size(a) <= {block}, {sums('a', '0L')}, {blocks})), 0)"
+
+
+def running(values: Column) -> Column:
+    """Sums of the values before each one, see running_sql."""
+    # What lies inside a lambda goes by no name in SQL, so it is handed in as an array's element.
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+    def sums(a: Column, first: Column) -> Column:
+        return F.aggregate(a, first, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
 
     def blocks(a: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda k: F.slice(a, k * block + 1, F.lit(block)))
-        starts = lambda c: sums(F.transform(c, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda t, v: t + v)), F.lit(0))
-        return let(cut, lambda c: F.flatten(F.zip_with(c, starts(c), sums)))
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / 256).cast("int")), lambda k: F.slice(a, k * 256 + 1, F.lit(256)))
+        starts = lambda c: sums(F.transform(c, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda t, v: t + v)), start)
+        return let(cut, lambda c: F.flatten(F.zip_with(c, starts(c), lambda x, o: sums(x, F.struct(o.alias("at"), F.array().cast("array<bigint>").alias("out"))))))
 
-    return let(values, lambda a: F.when(F.size(a) <= block, sums(a, F.lit(0))).otherwise(blocks(a)))
+    return let(values, lambda a: F.when(F.size(a) <= 256, sums(a, start)).otherwise(blocks(a)))
 
 
 def line_starts(text: Column) -> Column:
@@ -142,6 +157,14 @@ def cut(text: Column, java: str) -> Column:
     return F.when(~text.contains(_MARK), marked).otherwise(F.slice(both, F.lit(1), 2 * F.size(found) + 1))
 
 
+def cut_sql(text: str, java: str) -> str:
+    """cut() of a column, as SQL."""
+    pattern = f"r'{java}'" if "'" not in java and not java.endswith("\\") else "'" + java.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    found = f"regexp_extract_all({text}, {pattern}, 0)"
+    both = f"slice(flatten(zip_with(split({text}, {pattern}, -1), concat({found}, array('')), (g, m) -> array(g, m))), 1, 2 * size({found}) + 1)"
+    return f"if(contains({text}, '{_MARK}'), {both}, split(regexp_replace({text}, {pattern}, '{_MARK}$0{_MARK}'), '{_MARK}', -1))"
+
+
 def placed(parts: Column) -> Column:
     """The matches of a cut text as array of struct(text, start): 0-based offsets in characters."""
     starts = lambda p: running(F.transform(p, lambda x: F.length(x).cast("bigint")))
@@ -150,6 +173,13 @@ def placed(parts: Column) -> Column:
     return F.when(F.size(parts) > 1, each).otherwise(F.array().cast("array<struct<text:string,start:int>>"))
 
 
+def placed_sql(parts: str) -> str:
+    """placed() of a column, as SQL."""
+    at = running_sql(f"transform({parts}, x -> cast(length(x) as bigint))")
+    rows = "transform(sequence(1, size(q.p) - 2, 2), k -> named_struct('text', get(q.p, k), 'start', cast(get(q.at, k) as int)))"
+    return f"if(size({parts}) > 1, get(transform(array(named_struct('p', {parts}, 'at', {at})), q -> {rows}), 0), cast(array() as array<struct<text:string,start:int>>))"
+
+
 def matches(text: Column, java: str) -> Column:
     """All matches of a Java pattern as array of struct(text, start)."""
     return let(cut(text, java), placed)

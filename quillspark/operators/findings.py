@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.regex import WORD, quote
-from quillspark.functions.text import cut, let, line_starts, place_of, placed
+from quillspark.functions.text import cut_sql, let, line_starts, place_of, placed_sql
 from quillspark.operators.rules import BUILTIN, Rule, load_rules
 from quillspark.operators.segments import CANDIDATE, DETECTORS, sentences
 
@@ -43,20 +43,23 @@ def audit(docs: DataFrame, rules: Sequence[Rule], *, keys: Sequence[str] = ("doc
         none = F.col("_spans")
         rows = rows.withColumn("_spans", sentences(F.col("_text")))
     # Cut texts are columns of their own, used twice below, so the optimiser leaves each pattern at one evaluation.
-    rows = rows.withColumns({f"_p{n}": cut(F.col("_text"), r.java) for n, r in enumerate(rules) if not r.named})
-    empty = F.array().cast("array<struct<rule:int,matched_text:string,char_offset:int>>")
+    rows = rows.withColumns({f"_p{n}": F.expr(cut_sql("_text", r.java)) for n, r in enumerate(rules) if not r.named})
+    # SQL for what is said for each rule: built call by call, a rule set takes the driver many seconds.
+    plain = [f"transform({placed_sql(f'_p{n}')}, c -> named_struct('rule', {n}, 'matched_text', c.text, 'char_offset', c.start))" for n, r in enumerate(rules) if not r.named and not r.exceptions]
+    every = F.expr(f"concat({', '.join(['cast(array() as array<struct<rule:int,matched_text:string,char_offset:int>>)', *plain])})")
 
     def found(n: int, rule: Rule) -> Column:
-        own = DETECTORS[rule.detector](F.col("_text"), none) if rule.named else placed(F.col(f"_p{n}"))
+        own = DETECTORS[rule.detector](F.col("_text"), none) if rule.named else F.expr(placed_sql(f"_p{n}"))
         return F.transform(candidates(rule, own), lambda c: F.struct(F.lit(n).alias("rule"), c["text"].alias("matched_text"), c["start"].alias("char_offset")))
 
-    rows = rows.select(*names, "_text", F.concat(empty, *(found(n, r) for n, r in enumerate(rules))).alias("_found"))
+    rows = rows.select(*names, "_text", F.concat(every, *(found(n, r) for n, r in enumerate(rules) if r.named or r.exceptions)).alias("_found"))
     if positions:
         rows = rows.withColumn("_starts", F.when(F.size("_found") > 0, line_starts(F.col("_text"))))
         rows = rows.withColumn("_found", F.transform("_found", lambda f: let(place_of(F.col("_starts"), f["char_offset"]), lambda p: f.withField("line", p["line"]).withField("column", p["column"]))))
     # explode_outer, as Spark guards explode with a filter that evaluates what is exploded a second time.
     out = rows.select(*names, F.explode_outer("_found").alias("f")).where("f is not null").select(*names, "f.*")
-    each = lambda values: F.get(F.array(*(F.lit(v) for v in values)), F.col("rule")) if rules else F.lit("")
+    text_of = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    each = lambda values: F.expr(f"get(array({', '.join(map(text_of, values))}), rule)") if rules else F.lit("")
     about = [each([r.id for r in rules]).alias("rule_id"), each([r.severity for r in rules]).alias("severity"), each([r.message for r in rules]).alias("message")]
     return out.select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), *about, "matched_text", "char_offset", *(["line", "column"] if positions else []))
 
