@@ -43,7 +43,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.cluster import ship, written
+from quillspark.cluster import drop, roots, ship, written
 from quillspark.llm.components import components
 from quillspark.llm.kernel import NOT_SPACE, U64, Words, column, lean, mix, slices, window_hashes
 
@@ -282,6 +282,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
 
     sorted_ = in_order(_deal(forest, orders, depth), n_nodes)
     near = written(sorted_.mapInArrow(_neighbours(depth, shallow, reach), "kind bigint, a bigint, b bigint, v bigint"), "neighbours")
+    drop(spark, roots(forest))
     pairs = near.where("kind = 0").groupBy("a", "b").agg(F.sum("v").alias("v"))
     members = near.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("region"), "v")
     weight = members.groupBy("node").agg(F.sum("v").alias("n"))
@@ -302,7 +303,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
         bitmap[m["slice"]] = np.frombuffer(m["m"], np.uint8)
     bitmap = bitmap.tobytes()
     sets = docs.mapInArrow(lean(_sets(shingle, spark.sparkContext.broadcast(bitmap))), "k1 bigint, k2 bigint, hs binary")
-    sets = written(sets.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "hs"), "sets")
+    # One set for each node, found by the keys that the join has dealt by, so sets are not shuffled again.
+    sets = written(sets.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "hs"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a")

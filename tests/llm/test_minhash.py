@@ -1,7 +1,9 @@
+import os
 import random
 
 import numpy as np
 import pytest
+from quillspark.cluster import noting
 from quillspark.llm.components import components
 from quillspark.llm.minhash import _neighbours, near_duplicates, shingle_sets, signatures
 
@@ -161,3 +163,13 @@ def test_rows_with_a_regions_common_values_weigh_most():
     rows = [(0, (1, 5), 10 + k) for k in range(4)] + [(0, (1, 6 + k), 20 + k) for k in range(5)]
     weight = {r["a"]: r["v"] for b in _neighbours(2, 1, 2)(dealt(rows, 2)) for r in b.to_pylist() if r["kind"] == 1}
     assert min(weight[10 + k] for k in range(4)) > max(weight[20 + k] for k in range(5)) > 0
+
+
+def test_signatures_go_when_they_have_been_sorted(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(n, text(rng, 30)) for n in range(20)] * 2, "doc_id bigint, text string")
+    with noting() as paths:
+        out = near_duplicates(docs).collect()
+    kept = [p for p in paths if os.path.exists(p.removeprefix("file:"))]
+    assert len(out) == 40 and sum(r["kept"] for r in out) == 40 and {r["component"] for r in out} == set(range(20))
+    assert any("/sets-" in p for p in kept) and not any("/forest-" in p for p in kept)
