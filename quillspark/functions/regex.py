@@ -147,3 +147,39 @@ def to_java(pattern: str) -> str:
         raise Untranslatable("a detector must not match the empty string")
     text = _sequence(parser.parse(pattern), compiled.flags)
     return f"(?iu){text}" if compiled.flags & re.IGNORECASE else text
+
+
+def _anchors(body, flags: int) -> list[frozenset[str]]:
+    out, run = [], ""
+    for kind, value in [*body, (None, None)]:
+        if kind is c.LITERAL and (value < 128 or not (flags & re.IGNORECASE or chr(value).isalpha())):
+            run += chr(value).lower()
+            continue
+        if run:
+            out.append(frozenset({run}))
+            run = ""
+        if kind is c.SUBPATTERN:
+            out += _anchors(value[3], (flags | value[1]) & ~value[2])
+        elif kind is c.ATOMIC_GROUP:
+            out += _anchors(value, flags)
+        elif kind in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT) and value[0] > 0:
+            out += _anchors(value[2], flags)
+        elif kind is c.BRANCH:
+            each = [max(_anchors(x, flags), key=_rarity, default=frozenset()) for x in value[1]]
+            if all(each):
+                out.append(frozenset().union(*each))
+    return out
+
+
+def _rarity(texts: frozenset[str]) -> tuple[int, int]:
+    return min(map(len, texts)), -len(texts)
+
+
+#: What is no ASCII character but the same as one for a pattern that ignores case.
+LIKE_ASCII = "\u0130\u0131\u017f\u212a"
+
+
+def anchors(pattern: str, most: int = 3) -> list[list[str]]:
+    """Sets of texts, the rarest looking first: each match of a Python pattern holds one text of every set, in lower case. Where a text holds characters of LIKE_ASCII, a match may hold these instead."""
+    found = sorted(set(_anchors(parser.parse(pattern), re.compile(pattern).flags)), key=lambda x: (_rarity(x), sorted(x)), reverse=True)
+    return [sorted(x) for x in found[:most]]

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.regex import WORD, quote
+from quillspark.functions.regex import LIKE_ASCII, WORD, anchors, quote
 from quillspark.functions.text import cut_sql, let, line_starts, place_of, placed_sql
 from quillspark.operators.rules import BUILTIN, Rule, load_rules
 from quillspark.operators.segments import CANDIDATE, DETECTORS, sentences
@@ -42,8 +42,10 @@ def audit(docs: DataFrame, rules: Sequence[Rule], *, keys: Sequence[str] = ("doc
     if any(r.named and r.detector in ("repeated_openings", "negative_listing", "manufactured_staccato") for r in rules):
         none = F.col("_spans")
         rows = rows.withColumn("_spans", sentences(F.col("_text")))
+    odd = " or ".join(f"contains(_text, '{x}')" for x in LIKE_ASCII)
+    rows = rows.withColumn("_low", F.expr(f"if({odd}, null, lower(_text))"))
     # Cut texts are columns of their own, used twice below, so the optimiser leaves each pattern at one evaluation.
-    rows = rows.withColumns({f"_p{n}": F.expr(cut_sql("_text", r.java)) for n, r in enumerate(rules) if not r.named})
+    rows = rows.withColumns({f"_p{n}": F.expr(_guarded(r)) for n, r in enumerate(rules) if not r.named})
     # SQL for what is said for each rule: built call by call, a rule set takes the driver many seconds.
     plain = [f"transform({placed_sql(f'_p{n}')}, c -> named_struct('rule', {n}, 'matched_text', c.text, 'char_offset', c.start))" for n, r in enumerate(rules) if not r.named and not r.exceptions]
     every = F.expr(f"concat({', '.join(['cast(array() as array<struct<rule:int,matched_text:string,char_offset:int>>)', *plain])})")
@@ -58,12 +60,22 @@ def audit(docs: DataFrame, rules: Sequence[Rule], *, keys: Sequence[str] = ("doc
         rows = rows.withColumn("_found", F.transform("_found", lambda f: let(place_of(F.col("_starts"), f["char_offset"]), lambda p: f.withField("line", p["line"]).withField("column", p["column"]))))
     # explode_outer, as Spark guards explode with a filter that evaluates what is exploded a second time.
     out = rows.select(*names, F.explode_outer("_found").alias("f")).where("f is not null").select(*names, "f.*")
-    text_of = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    each = lambda values: F.expr(f"get(array({', '.join(map(text_of, values))}), rule)") if rules else F.lit("")
+    each = lambda values: F.expr(f"get(array({', '.join(map(_quoted, values))}), rule)") if rules else F.lit("")
     about = [each([r.id for r in rules]).alias("rule_id"), each([r.severity for r in rules]).alias("severity"), each([r.message for r in rules]).alias("message")]
     return out.select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), *about, "matched_text", "char_offset", *(["line", "column"] if positions else []))
 
 
+def _guarded(rule: Rule) -> str:
+    """A text (_text) cut at a rule's matches, as SQL. The pattern runs only where the text in lower case (_low) holds what each match holds: looking for fixed texts takes a small part of a pattern's time."""
+    cut = cut_sql("_text", rule.java)
+    needed = " and ".join(f"({' or '.join(f'contains(_low, {_quoted(x)})' for x in one)})" for one in anchors(rule.detector))
+    return f"if(coalesce({needed}, true), {cut}, array(_text))" if needed else cut
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class Auditor:
     """Rules that are loaded once and applied to many tables."""
 

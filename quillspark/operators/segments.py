@@ -136,7 +136,7 @@ def fragmented_header(text: Column, spans: Column) -> Column:
     found = matches(text, rf"(?:(?<=\n)|(?<![\s\S])){head}[^\n]+\n(?:[ \t]*\n)+(?=[^#{SPACE}])")
     parts = F.transform(found, lambda m: F.struct(F.regexp_extract(m["text"], f"^({head})([^\\n]+)", 2).alias("line"), (m["start"] + F.length(F.regexp_extract(m["text"], f"^({head})", 1))).alias("start")))
     parts = F.filter(parts, lambda p: ~strip(p["line"]).rlike(r"^(?:#|[-*+] )") & token_count(strip(p["line"])).between(1, 6))
-    return F.transform(parts, lambda p: F.struct(strip(p["line"]).alias("text"), (p["start"] + F.length(p["line"]) - F.length(F.regexp_replace(p["line"], f"^[{SPACE}]+", ""))).alias("start"), strip(p["line"]).alias("context")))
+    return F.when(text.contains("#"), F.transform(parts, lambda p: F.struct(strip(p["line"]).alias("text"), (p["start"] + F.length(p["line"]) - F.length(F.regexp_replace(p["line"], f"^[{SPACE}]+", ""))).alias("start"), strip(p["line"]).alias("context"))))
 
 
 def connector_openers(text: Column, spans: Column) -> Column:
@@ -145,7 +145,9 @@ def connector_openers(text: Column, spans: Column) -> Column:
 
     found = matches(text, to_java(r"(?im)(?:^|[.!?][ \t]+)(?:furthermore|moreover|additionally)\b"))
     parts = F.transform(found, lambda m: F.struct(F.regexp_extract(m["text"], r"([A-Za-zſK]+)(?![\s\S])", 1).alias("text"), (m["start"] + F.length(m["text"])).alias("end")))
-    return F.transform(parts, lambda p: F.struct(p["text"].alias("text"), (p["end"] - F.length(p["text"])).alias("start"), p["text"].alias("context")))
+    # None of these holds a letter that some other character is equal to.
+    low = F.lower(text)
+    return F.when(low.contains("furthermore") | low.contains("moreover") | low.contains("add"), F.transform(parts, lambda p: F.struct(p["text"].alias("text"), (p["end"] - F.length(p["text"])).alias("start"), p["text"].alias("context"))))
 
 
 def boldface_density(text: Column, spans: Column) -> Column:

@@ -1,6 +1,11 @@
+import re
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillspark.functions.regex import LIKE_ASCII, anchors
 from quillspark.operators.findings import audit, mark_within_allowance, ordered
 from quillspark.operators.rules import ANTI_AI, RuleError, Rule, effective_entries, fingerprint, load_rules, merge_overlay
 
@@ -140,3 +145,27 @@ def test_null_and_empty_texts(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string")
     assert audit(df, load_rules(ANTI_AI)).count() == 0 and audit(df.limit(0), load_rules()).count() == 0
     assert audit(df, []).count() == 0 and F.lit(1) is not None
+
+
+@pytest.mark.parametrize("rule", [r for r in load_rules(ANTI_AI) if not r.named], ids=lambda r: r.id)
+def test_matches_hold_the_fixed_texts_that_guard_a_pattern(rule):
+    needed = anchors(rule.detector)
+
+    @settings(max_examples=30, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(rule.detector))
+    def check(text):
+        for m in re.finditer(rule.detector, text):
+            if not any(x in m[0] for x in LIKE_ASCII):
+                assert all(any(x in m[0].lower() for x in one) for one in needed)
+
+    check()
+
+
+def test_guarded_patterns_find_what_patterns_find(spark):
+    patterns = [r"(?i)\b(?:landscape|it['’]s a key)\b", r"No (?:saved|kept)\b", r"[—–]", r"(?i)a(?-i:B)c+", r"(?i)x(?:yz)*y", r"é+\\n'"]
+    texts = ["The LANDſCAPE, it’s a \u212aey; IT'S A KEY", "no saved, No kept, No saved.", "a — b – c", "ABcC abc aBC", "XY xyzyzy xyz", "éé\\n' É\\n'", "", "kept it's"]
+    rules = [Rule(f"r{n}", "warn", p, "m") for n, p in enumerate(patterns)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["rule_id"], r["char_offset"], r["matched_text"]) for r in audit(docs, rules).collect())
+    assert got == sorted((d, f"r{n}", m.start(), m[0]) for d, t in enumerate(texts) for n, p in enumerate(patterns) for m in re.finditer(p, t))
+    assert anchors(patterns[1]) == [["kept", "saved"], ["no "]] and anchors(patterns[2]) == []
